@@ -28,8 +28,9 @@ PER_CLASS = 4000
 ENTRIES, CANDIDATES = 500, 20000
 #: Stems have so many letters.
 STEM = (4, 8)
-#: A learned entry has this log odds ratio at least, and is in so many toxic texts of the sample.
-LEAST_ODDS, LEAST_TEXTS = 3.0, 5
+#: A learned entry has this log odds ratio at least, is in so many toxic texts of the sample, and comes after so many
+#: different words there (copies of one text repeat its rare words, but always in their places).
+LEAST_ODDS, LEAST_TEXTS, LEAST_NEIGHBOURS = 3.0, 5, 5
 #: A text counts as so many words at least, and its length to this power divides the sum of weights.
 LEAST_WORDS, LENGTH_POWER = 50, 0.15
 
@@ -110,16 +111,23 @@ def raw_score(text: str, automaton: ahocorasick.Automaton) -> float:
 
 
 def _candidates(batches):
+    """(entry, whole, toxic, before): each entry of a text once, with the word before its first place."""
     for batch in batches:
-        label, entry, whole = [], [], []
+        rows: list[tuple[str, bool, bool, str]] = []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {w for r in readings(text or "") for w in _WORD.findall(r)}
-            stems = {w[:k] for w in words for k in range(STEM[0], min(STEM[1], len(w)) + 1)}
-            words = {w for w in words if 3 <= len(w) <= 20}
-            entry += [*words, *stems]
-            whole += [True] * len(words) + [False] * len(stems)
-            label += [y == 1] * (len(words) + len(stems))
-        yield pa.RecordBatch.from_arrays([pa.array(entry, pa.string()), pa.array(whole), pa.array(label)], names=["entry", "whole", "toxic"])
+            seen: dict[tuple[str, bool], str] = {}
+            for reading in readings(text or ""):
+                before = ""
+                for word in _WORD.findall(reading):
+                    if 3 <= len(word) <= 20:
+                        seen.setdefault((word, True), before)
+                    for k in range(STEM[0], min(STEM[1], len(word)) + 1):
+                        seen.setdefault((word[:k], False), before)
+                    before = word
+            rows += [(entry, whole, y == 1, before) for (entry, whole), before in seen.items()]
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        types = [pa.string(), pa.bool_(), pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["entry", "whole", "toxic", "before"])
 
 
 def learn(documents: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int = PER_CLASS) -> Lexicon:
@@ -135,11 +143,11 @@ def learn(documents: DataFrame, labels: DataFrame, label: str, training: Column,
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon(dict.fromkeys(SEEDS, 1.0))
-    seen = few.mapInArrow(_candidates, "entry string, whole boolean, toxic boolean").groupBy("entry", "whole").agg(
-        F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c")
-    )
+    found = few.mapInArrow(_candidates, "entry string, whole boolean, toxic boolean, before string")
+    kinds = found.groupBy("entry", "whole", "before").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c"))
+    seen = kinds.groupBy("entry", "whole").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("long")).alias("neighbours"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    seen = seen.where(F.col("t") >= LEAST_TEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    seen = seen.where((F.col("t") >= LEAST_TEXTS) & (F.col("neighbours") >= LEAST_NEIGHBOURS)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     rows = seen.orderBy(F.desc("t"), F.desc("odds"), "entry", "whole").limit(CANDIDATES).collect()
     stems = {r.entry: (r.t, r.odds) for r in rows if not r.whole}
     words = {r.entry: (r.t, r.odds) for r in rows if r.whole}
