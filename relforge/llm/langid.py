@@ -25,8 +25,9 @@ BITS = 12
 #: Training texts in all, and of each language (at least LEAST_PER_LANGUAGE of many languages).
 SAMPLE, PER_LANGUAGE, LEAST_PER_LANGUAGE = 4000, 800, 16
 CENTROIDS, ROUNDS = 4, 8
-#: A language rejects what is below this part of the cosine that all but 1 of 200 of its training texts reach.
-SLACK, TAIL = 0.5, 0.005
+#: A language rejects what is below this part of the cosine that all but 1 of 200 of its training texts reach;
+#: a text with fewer than FULL different trigrams can't come as close, and its bound falls with the root of their number.
+SLACK, TAIL, FULL = 0.5, 0.005, 400
 _ROWS = 256
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -73,11 +74,13 @@ class Model:
     language: list[str]  # of each centroid
     least: np.ndarray  # cosine below which each centroid's language rejects
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(centroid, cosine) of each row."""
+    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(centroid, cosine, whether it is too low) of each row."""
         cosine = _vectors(counts, self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
-        return best, cosine[np.arange(len(best)), best]
+        top = cosine[np.arange(len(best)), best]
+        evidence = np.sqrt(np.minimum(1.0, (counts > 0).sum(axis=1) / FULL))
+        return best, top, top < self.least[best] * evidence
 
 
 def _centroids(x: np.ndarray, k: int) -> np.ndarray:
@@ -172,13 +175,13 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                     letter[k] = has_letter(text[a + k])
                 if m is None:
                     letter[:] = False
-                    best, cosine = np.zeros(e - a, dtype=int), np.zeros(e - a)
+                    best, cosine, far = np.zeros(e - a, dtype=int), np.zeros(e - a), np.ones(e - a, dtype=bool)
                 else:
-                    best, cosine = m.predict(trigram_counts(bytes_, own))
-                for ok, b, c in zip(letter.tolist(), best.tolist(), np.clip(cosine, 0, 1).tolist(), strict=True):
+                    best, cosine, far = m.predict(trigram_counts(bytes_, own))
+                for ok, b, c, f in zip(letter.tolist(), best.tolist(), np.clip(cosine, 0, 1).tolist(), far.tolist(), strict=True):
                     lang.append(m.language[b] if ok else "und")
                     score.append(c if ok else 0.0)
-                    out.append(not ok or c < m.least[b])
+                    out.append(not ok or f)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields)
