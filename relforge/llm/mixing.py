@@ -127,7 +127,7 @@ def scaling(raked: DataFrame, fraction: float) -> float:
     """The factor of the weights at which the expected tokens are `fraction` of all, by SCALINGS corrections."""
     scale = float(fraction)
     for _ in range(SCALINGS):
-        got = raked.agg((F.sum(F.col("base") * F.least(F.lit(1.0), F.col("ratio") * F.lit(scale))) / F.sum("base")).alias("got")).first().got
+        got = raked.agg(F.try_divide(F.sum(F.col("base") * F.least(F.lit(1.0), F.col("ratio") * F.lit(scale))), F.sum("base")).alias("got")).first().got
         if not got:
             break
         scale = scale * fraction / got
