@@ -13,12 +13,13 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..functions import json_text, scalar
 from ..plans import syntax as s
 from ..plans.parser import invalid, refused
 from ..sources.catalog import Catalog, ForeignKey, Step, TableDef, quoted, read_table
 from ..sources.store import Store
-from .query import Compiler, Rows
+from .query import MOST_ROWS, Compiler, Rows, columns_in
 from .rows import assignable, default_of, evaluate, kind_of, proposed, stored, violation
 
 #: Keys of a table that are reported; with more, none are.
@@ -238,7 +239,7 @@ class Changer:
             elif column.type == "json" and isinstance(value, (s.Literal, s.Parameter)):
                 new[name] = scalar.literal(json_text.canonical(self.compiler.constant(value)), "json")
             else:
-                if not any(True for _ in _columns(value)):  # worked out once
+                if not any(True for _ in columns_in(value)):  # worked out once
                     held = evaluate(value, lambda c: None, self.compiler.constant)
                     assignable(column, kind_of(value, lambda c: "null", self.compiler.constant))
                     new[name] = F.lit(held).cast(scalar.SPARK_TYPES[column.type])
@@ -315,6 +316,8 @@ class Changer:
 
     def _finish(self, change: Change, command: str, count: int | None, assigned: set[str] | None = None) -> Outcome:
         number = change.df.count() if count is None else count
+        if self.compiler.strict and number > MOST_ROWS:
+            raise EngineError("QUERY_WORK_LIMIT_EXCEEDED", f"a statement changes more than {MOST_ROWS} rows")
         outcome = Outcome(self.catalog, command, number, change.table)
         if number:
             self._apply(change)
@@ -414,12 +417,6 @@ class Changer:
             raise violation(f"{key.name}: a referenced row is missing")
 
 
-def _columns(node: object):
-    from .query import columns_in
-
-    return columns_in(node)
-
-
 def changed_keys(changes: Sequence[Change]) -> dict[str, list[tuple] | None]:
     """The primary keys of the rows that changed, by table; None for a table with more than MOST_KEYS."""
     out: dict[str, list[tuple] | None] = {}

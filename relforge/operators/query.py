@@ -22,6 +22,10 @@ from ..plans.parser import MAX_AGGREGATES, MAX_COLUMNS, MAX_LIMIT, MAX_OFFSET, i
 from ..sources.catalog import TableDef, quoted
 
 
+#: Limits of volume, which only strict databases keep: values of a subquery, rows of a result, changed rows.
+MOST_VALUES, MOST_ROWS = 1_024, 100_000
+
+
 @dataclass(frozen=True)
 class Out:
     """An output: its name, type, and the column that holds it; `source` is the column that it returns, if plain."""
@@ -142,8 +146,8 @@ def free_columns(query: s.Select) -> set[tuple[str, str]]:
 class Compiler:
     """Compiles one statement's queries against a catalog."""
 
-    def __init__(self, spark: SparkSession, table: Callable[[str], TableDef], frame: Callable[[TableDef], DataFrame], parameters: Sequence[object] = ()):
-        self.spark, self.table, self.frame, self.parameters = spark, table, frame, list(parameters)
+    def __init__(self, spark: SparkSession, table: Callable[[str], TableDef], frame: Callable[[TableDef], DataFrame], parameters: Sequence[object] = (), strict: bool = False):
+        self.spark, self.table, self.frame, self.parameters, self.strict = spark, table, frame, list(parameters), strict
         self._names = 0
 
     def ident(self) -> str:
@@ -323,7 +327,10 @@ class Compiler:
             value, column = value.cast("double"), column.cast("double")
         elif out.type == "null":
             value = value.cast(scalar.SPARK_TYPES[kind])
-        return answer.df.select(value.alias(held)), held, column, F.col(held)
+        values = answer.df.select(value.alias(held))
+        if self.strict and values.limit(MOST_VALUES + 1).count() > MOST_VALUES:
+            raise EngineError("QUERY_WORK_LIMIT_EXCEEDED", f"a subquery returned more than {MOST_VALUES} rows")
+        return values, held, column, F.col(held)
 
     def _in_query(self, node: s.InQuery, df: DataFrame, rows: Rows) -> DataFrame:
         """IN as a semi-join; NOT IN as an anti-join, without rows if a value is null or, unless there are no values, the column is."""

@@ -250,3 +250,17 @@ def test_predicates_are_those_of_three_valued_logic(db, kind, stored):
         got = db.query(f"SELECT id FROM m WHERE v {operator} $1 OR NOT v {operator} $1 ORDER BY id", [value]).rows
         assert [r["id"] for r in got] == [k for k, x in enumerate(known) if x is not None]
         assert rows(db, f"SELECT id FROM m WHERE NOT (v {operator} $1) ORDER BY id", value) == [(k,) for k, x in enumerate(known) if x is False]
+
+
+def test_limits_of_volume_hold_in_strict_databases_only(spark):
+    many = spark.range(100_001).selectExpr("id", "id % 2000 AS k")
+    for strict in (False, True):
+        db = Database(spark, strict_limits=strict)
+        db.attach("many", many, ["id"])
+        if strict:
+            assert code(db, "SELECT id FROM many") == "RESULT_LIMIT_EXCEEDED"
+            assert code(db, "SELECT id FROM many WHERE id IN (SELECT k FROM many)") == "QUERY_WORK_LIMIT_EXCEEDED"
+        else:
+            assert len(db.query("SELECT id FROM many").rows) == 100_001
+            assert len(db.query("SELECT id FROM many WHERE id IN (SELECT k FROM many)").rows) == 2_000
+        db.close()
