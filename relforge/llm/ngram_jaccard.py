@@ -9,8 +9,10 @@ link when den * |A and B| >= num * |A or B|.
    n - ceil(num n / den) + 1 of each ("prefix").
 3. Prefixes are inverted.  A list of up to a bounded number of classes gives its
    pairs, with how many prefix n-grams they share; pairs whose sizes or shared
-   counts rule out the bound go.  A longer list gives only the edges that tie it
-   together.  Both keep every link inside one connected candidate cluster.
+   counts rule out the bound go, and so do those whose parity bitmaps differ in
+   more places than two linked sets can differ in n-grams.  A longer list gives
+   only the edges that tie it together.  Both keep every link inside one
+   connected candidate cluster.
 4. Clusters are dealt into blocks of bounded size by set size and hash; a block
    pair is a sparse product that accumulates all overlaps and drops pairs below
    the bound.  Blocks whose sizes can't link never meet.  Only a spanning forest
@@ -40,6 +42,10 @@ LIST_LEAST = 48
 BLOCK = 256
 #: Bits of the filter that keeps sets of unclustered classes from being shuffled.
 FILTER_BITS = 23
+#: Longs of a set's bitmap: bit k is the parity of the n-grams that fall on k.
+MARKS = 8
+#: Clustered classes up to which their table is sent to all tasks (some 100 bytes each); a larger one is joined by key.
+BROADCAST_CLASSES = 200_000
 
 
 def _sets(batch: pa.RecordBatch, width: int):
@@ -57,6 +63,14 @@ def _digests(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
 
 
+def _parities(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """rows x MARKS longs: two sets differ in at least as many n-grams as their bitmaps differ in bits."""
+    width = 64 * MARKS
+    at = row * width + (values >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=rows * width) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _prefixes(spark, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, int]:
     def of_batch(batch):
         for _, _, values, _ in _sets(batch, width):
@@ -85,11 +99,12 @@ def _prefixes(spark, docs: DataFrame, width: int, num: int, den: int) -> tuple[D
                     [
                         ids.slice(a, e - a), pa.array(n, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(late),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(e - a + 1) * MARKS, pa.int32()), pa.array(_parities(values, row, e - a))),
                     ],
-                    names=["doc_id", "n", "hi", "lo", "late", "prefix"],
+                    names=["doc_id", "n", "hi", "lo", "late", "prefix", "marks"],
                 )
 
-    kind = "doc_id long, n long, hi long, lo long, late int, prefix array<long>"
+    kind = "doc_id long, n long, hi long, lo long, late int, prefix array<long>, marks array<long>"
     return docs.mapInArrow(prefix, kind), longest
 
 
@@ -257,7 +272,7 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
     has = members.df.where("n > 0")
     classes = Written(
         has.groupBy("hi", "lo")
-        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("late").alias("late"), F.first("prefix").alias("prefix"))
+        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("late").alias("late"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     lists = (
@@ -270,11 +285,15 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
     rest = lambda n: F.ceil(F.col(n) * num / den) - 1  # noqa: E731  n-grams behind the prefix
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
     candidates = found.where(F.col("tie") | (F.col("shared") + F.least("la", "lb") + F.greatest(rest("na"), rest("nb")) >= need))
-    cluster = Written(components(candidates.select("a", "b")))
+    marks_of = lambda side: classes.df.select(F.col("node").alias(side), F.col("marks").alias(f"m{side}"))
+    pairs = candidates.where("not tie").select("a", "b", F.col("na") + F.col("nb") - 2 * need).join(marks_of("a"), "a").join(marks_of("b"), "b").toDF("b", "a", "most", "ma", "mb")
+    apart = sum((F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(1, MARKS)), F.bit_count(F.col("ma")[0].bitwiseXOR(F.col("mb")[0])))
+    edges = pairs.where(apart <= F.col("most")).select("a", "b").unionAll(candidates.where("tie").select("a", "b"))
+    cluster = Written(components(edges))
 
     step = math.log(den / num)
     own = (
-        classes.df.drop("prefix", "late")
+        classes.df.drop("prefix", "late", "marks")
         .join(cluster.df, "node")
         .withColumn("size", F.floor(F.log("n") / step).cast("int"))
     )
@@ -319,9 +338,10 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
                     )
 
     sets = docs.mapInArrow(whole, "doc_id long, hi long, lo long, own binary")
+    few = placed.df.count() <= BROADCAST_CLASSES
     blocks = (
-        placed.df.alias("c")
-        .join(sets.alias("s"), (F.col("c.hi") == F.col("s.hi")) & (F.col("c.lo") == F.col("s.lo")) & F.col("c.least").eqNullSafe(F.col("s.doc_id")))
+        sets.alias("s")
+        .join((F.broadcast(placed.df) if few else placed.df).alias("c"), (F.col("c.hi") == F.col("s.hi")) & (F.col("c.lo") == F.col("s.lo")) & F.col("c.least").eqNullSafe(F.col("s.doc_id")))
         .select("root", "node", "copies", F.explode("blocks").alias("at"), "own")
         .select("root", "at.s", "at.p", "at.t", "at.q", "node", "copies", "at.side", "own")
         .repartition("root", "s", "p", "t", "q")
