@@ -35,6 +35,7 @@ class Change:
     table: TableDef
     df: DataFrame
     ops: str  # the kinds that may be there
+    keys: list[tuple] | None = None  # those of all rows, if they are known
 
     def old(self, names: Sequence[str], prefix: str = "") -> list[Column]:
         return [F.col(f"o{self.table.names.index(n)}").alias(prefix + n) for n in names]
@@ -160,7 +161,8 @@ class Changer:
             parts = [[written[id(r)], *(olds[id(r)][n] if id(r) in olds else None for n in table.names), *(r[n] for n in table.names)] for r in result]
             kinds = [scalar.SPARK_TYPES[c.type] for c in table.columns]
             schema = ", ".join(["op string", *(f"{p}{k} {t}" for p in "on" for k, t in enumerate(kinds))])
-            change = Change(table, self.spark.createDataFrame(parts, schema), "".join(sorted(set(written.values()))))
+            own = [tuple(r[c] for c in table.primary_key) for r in result]  # an upsert keeps its row's key
+            change = Change(table, self.spark.createDataFrame(parts, schema), "".join(sorted(set(written.values()))), own)
             outcome = self._finish(change, "INSERT", len(result))
         else:
             outcome = Outcome(self.catalog, "INSERT", 0, table)
@@ -427,8 +429,11 @@ def changed_keys(changes: Sequence[Change]) -> dict[str, list[tuple] | None]:
             sides.append(change.df.where("op <> 'I'").select(*change.old(keys)))
         if any(op in change.ops for op in "IU"):
             sides.append(change.df.where("op <> 'D'").select(*change.new(keys)))
-        df = sides[0] if len(sides) == 1 else sides[0].unionAll(sides[1])
-        found = [tuple(r) for r in df.distinct().limit(MOST_KEYS + 1).collect()]
+        if change.keys is not None:
+            found = change.keys
+        else:
+            df = sides[0] if len(sides) == 1 else sides[0].unionAll(sides[1])
+            found = [tuple(r) for r in df.distinct().limit(MOST_KEYS + 1).collect()]
         known = out.get(table.name, [])
         merged = None if known is None else sorted({*known, *found}, key=repr)
         out[table.name] = None if merged is None or len(merged) > MOST_KEYS else sorted(merged)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,5 +100,17 @@ class Store:
 
         return replace(table, steps=(Step("put", self.write(read_table(self.spark, table))),))
 
+    def vacuum(self, catalog: Catalog, older_than: float) -> int:
+        """Delete layers that `catalog` does not use and that are older than so many seconds; how many went."""
+        folder = self._path(f"{self.location}/layers")
+        if not self._fs.exists(folder):
+            return 0
+        used = {step.path.rpartition("/")[2] for table in catalog.tables.values() for step in table.steps}
+        before, gone = (time.time() - older_than) * 1000, 0
+        for found in self._fs.listStatus(folder):
+            if found.getPath().getName() not in used and found.getModificationTime() < before:
+                gone += bool(self._fs.delete(found.getPath(), True))
+        return gone
+
     def remove(self) -> None:
         self._fs.delete(self._path(self.location), True)
