@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks, shingle_hashes, text_buffers, word_hashes
+from .runtime import small_batches
 
 WIDTH = 3
 #: Text of the test items in one block, in bytes.
@@ -141,6 +142,7 @@ def _matches(block: Block, data: np.ndarray, offsets: np.ndarray, least: float)
 def _blocks(documents: DataFrame, benchmark: DataFrame, block_bytes: int):
     """The benchmark in blocks, each with seeds that are rare in the documents."""
     spark = documents.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // block_bytes))

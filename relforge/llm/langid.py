@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks, text_buffers
-from .runtime import remainder
+from .runtime import remainder, small_batches
 from .sampling import chosen, class_counts
 
 #: Buckets of hashed trigrams, as a power of two.
@@ -104,6 +104,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     frequent), by a hash of id and text.  Only their trigram counts come to the
     driver, 2**BITS small integers each.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = class_counts(rows.select("lang"), "lang")
@@ -156,6 +157,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     stay, even columns with those names (the new ones replace them).
     """
     spark = documents.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     names = [c for c in documents.columns if c not in ("lang_pred", "score", "rejected")]
     kept = documents.select(*names)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
+
 # Fixed values of the MPEG audio format.
 BITRATES = {  # kbit/s by (MPEG 1 or not, layer)
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -309,6 +311,7 @@ def encode_texts(documents: DataFrame) -> DataFrame:
                 media.append(write_stream(payload_of(raw)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -342,6 +345,7 @@ def read_media(media: DataFrame) -> DataFrame:
             more = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types[3:], strict=True)] if rows else [pa.array([], t) for t in types[3:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), *more], names=names)
 
+    small_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, kind)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import chunks, row_sets, shingle_hashes, text_buffers, word_hashes
-from .runtime import Written
+from .runtime import Written, small_batches
 from .sketch import count_hashes, heavy_bits
 
 #: Counters of the n-gram count table, as a power of two.
@@ -266,6 +266,7 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
     N-grams and sets are told apart by hashes of 64 and 128 bits.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with_prefix, longest = _prefixes(spark, docs, width, num, den)
     members = Written(with_prefix)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import _SPACE, chunks, mix64, text_buffers, word_hashes
+from .runtime import small_batches
 from .sampling import labelled_texts
 
 BITS = 18
@@ -121,6 +122,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str, training: Column,
     Only hashed features of that sample come to the driver.  With no labelled
     text, or with one class only, the model scores by the classes' shares alone.
     """
+    small_batches(documents.sparkSession)
     few, counts = labelled_texts(documents, labels, label, training, per_class)
 
     def rows(batches):
@@ -162,6 +164,7 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no n-grams: their score is the bias alone.  Equal
     texts score equally; other columns are not read; no row gives no row.
     """
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -24,6 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Bytes of one Arrow batch between the JVM and Python, in place of Spark's 64 MB: a batch is in memory several times.
+BATCH_SETTING, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session pass texts to Python in small batches, unless it has a size of its own set."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once no table that reads them is still to be computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Written:
     """A table written to the shared folder: lineage ends here, and an executor's loss costs nothing that was written."""
 
