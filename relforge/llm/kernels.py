@@ -113,8 +113,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, last, row
 
 
+def pieces(data: np.ndarray, most: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of one text of about `most` bytes each that begin at white space, so that no word is cut."""
+    start = 0
+    while start < len(data):
+        end = start + most
+        while end < len(data):
+            found = np.flatnonzero(_SPACE[data[end : end + most]])
+            if len(found):
+                end += int(found[0])
+                break
+            end += most
+        yield start, min(end, len(data))
+        start = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, row) of every folded word, in text order."""
+    """(64-bit hash, row) of every folded word, in text order; a long text is taken piece by piece."""
+    if len(offsets) == 2 and len(data) > 4 * CHUNK_BYTES:
+        parts = [_word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in pieces(data)]
+        out = np.concatenate(parts)
+        return out, np.zeros(len(out), dtype=np.int64)
+    return _word_hashes(data, offsets)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, last, row = words(data, offsets)
     if not len(first):
         return np.zeros(0, dtype=np.uint64), row

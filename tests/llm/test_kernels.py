@@ -43,3 +43,16 @@ def test_equal_words_hash_equally_wherever_they_are():
     hashes, row = word_hashes(data, offsets)
     assert row.tolist() == [0, 0, 0, 1]
     assert hashes[0] == hashes[2] == hashes[3] != hashes[1]
+
+
+def test_long_texts_are_taken_piece_by_piece(monkeypatch):
+    from relforge.llm import kernels
+
+    text = " ".join(f"word{k % 977}" for k in range(20_000)) + "\n" + "x" * 60_000 + " end"
+    data, offsets = text_buffers(pa.array([text]))
+    whole, _ = kernels._word_hashes(data, offsets)
+    monkeypatch.setattr(kernels, "CHUNK_BYTES", 1000)
+    cut = list(kernels.pieces(data, 4000))
+    assert len(cut) > 10 and cut[0][0] == 0 and cut[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(cut, cut[1:], strict=False))
+    hashes, row = word_hashes(data, offsets)
+    assert (hashes == whole).all() and not row.any()
