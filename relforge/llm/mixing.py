@@ -115,10 +115,10 @@ def mix(
     raked = Written(rake(cells.df, targets or {}, tempers, rounds).drop(*(f"want_{d}" for d in DIMENSIONS)))
     scale = scaling(raked.df, fraction)
     few = raked.df.count() <= BROADCAST_CELLS
-    own = raked.df.select(*(F.col(f"mix_{d}").alias(f"cell_{d}") for d in DIMENSIONS), F.col("ratio").alias("mix_weight"))
-    meet = [F.col(f"mix_{d}") == F.col(f"cell_{d}") for d in DIMENSIONS]
+    own = raked.df.select(*(F.col(f"mix_{d}").alias(f"mix_cell_{d}") for d in DIMENSIONS), F.col("ratio").alias("mix_weight"))
+    meet = [F.col(f"mix_{d}") == F.col(f"mix_cell_{d}") for d in DIMENSIONS]
     names = [c for c in rows.columns if c not in ("mix_weight", "mix_probability", "mix_kept")]
-    out = rows.select(*names).join(F.broadcast(own) if few else own, meet, "left").drop(*(f"cell_{d}" for d in DIMENSIONS))
+    out = rows.select(*names).join(F.broadcast(own) if few else own, meet, "left").drop(*(f"mix_cell_{d}" for d in DIMENSIONS))
     probability = F.lit(1.0) if fraction >= 1 else F.least(F.lit(1.0), F.col("mix_weight") * F.lit(scale))
     return out.withColumn("mix_probability", probability).withColumn("mix_kept", draw(F.col("doc_id"), seed) < F.col("mix_probability"))
 
