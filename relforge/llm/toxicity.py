@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import Written, small_batches
 from .sampling import labelled_texts
 
 #: Labelled training texts of each class.
@@ -137,8 +138,9 @@ def learn(documents: DataFrame, labels: DataFrame, label: str, training: Column,
     of weights for each sampled text, come to the driver.  Without labelled
     texts of both classes the words in SEEDS weigh 1 each.
     """
+    small_batches(documents.sparkSession)
     few, counts = labelled_texts(documents, labels, label, training, per_class)
-    few = few.select("text", "label")
+    few = Written(few.select("text", "label")).df  # read three times
     sizes = {r["label"]: r["n"] for r in few.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -201,6 +203,7 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts have no match, and the score of a text without one.
     Equal texts score equally; other columns are not read; no row gives no row.
     """
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
