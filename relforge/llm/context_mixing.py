@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks, mix64, text_buffers, word_hashes
-from .runtime import Written, remainder
+from .runtime import Written, remainder, small_batches
 
 ORDERS = 6
 #: Slots of each order's table, as powers of two; the first two orders need no hashing.
-SLOT_BITS = (8, 16, 18, 19, 20, 20)
+SLOT_BITS = (8, 16, 18, 20, 21, 22)
 _FIRST = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 DELTA, RATE, BATCH, START = 0.4, 0.02, 4096, 0.3
 #: Cells of the refinement for each gate, over logits -8 to 8.
@@ -278,6 +278,7 @@ def train(texts: DataFrame) -> tuple[Model, Written]:
     no word is known.
     """
     sc = texts.sparkSession.sparkContext
+    small_batches(texts.sparkSession)
     texts = texts.select(F.col("text").cast("string").alias("text"))
     words = _counted(texts, _word_keys)
     n, v = words.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
