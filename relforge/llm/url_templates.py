@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 BAD_WORDS = ("casino", "pills", "bets")
 #: Smoothing mass, the largest standardised difference of branches that are merged, and the purity that rejects a template.
-MASS, SIGNIFICANT, PURE = 4.0, 1.96, 0.8
+MASS, SIGNIFICANT, PURE = 4.0, 1.96, 0.75
+#: What is smoothed towards is the share of bad ones among all labelled URLs, but no more than this: an unlabelled branch is rather a good one.
+PRIOR_MOST = 0.2
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Wildcards of a segment, by the first pattern that fits it whole; patterns are read alike by Spark and DuckDB.
@@ -74,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     nodes = rows.groupBy("host", "head", "rest").agg(
         F.sum(labelled.cast("long")).alias("n"), F.sum((labelled & blocked).cast("long")).alias("b")
     )
-    base = F.lit((lambda r: min(0.5, ((r[1] or 0) + 1) / ((r[0] or 0) + 2)))(nodes.agg(F.sum("n"), F.sum("b")).first()))
+    base = F.lit((lambda r: min(PRIOR_MOST, ((r[1] or 0) + 1) / ((r[0] or 0) + 2)))(nodes.agg(F.sum("n"), F.sum("b")).first()))
     mean = lambda b, n: (b + base * MASS) / (n + MASS)
     variance = lambda m, n: m * (1 - m) / (n + MASS + 1)
     siblings = nodes.groupBy("host", "rest").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
@@ -113,7 +115,7 @@ q AS (SELECT *, {rule} AS rule, {ruled} AS ruled, ({bad}) AS is_bad,
 rows AS (SELECT *, coalesce(parts[1], '') AS head, array_to_string(parts[2:], '/') AS rest FROM q),
 nodes AS (SELECT host, head, rest, count(*) FILTER (ruled IS NOT NULL OR is_bad) AS n,
   count(*) FILTER ((ruled IS NOT NULL OR is_bad) AND coalesce(ruled = 'block', is_bad)) AS b FROM rows GROUP BY ALL),
-g AS (SELECT least(0.5, (coalesce(sum(b), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2)) AS base FROM nodes),
+g AS (SELECT least({PRIOR_MOST}, (coalesce(sum(b), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2)) AS base FROM nodes),
 s AS (SELECT host, rest, sum(n) AS all_n, sum(b) AS all_b FROM nodes GROUP BY ALL),
 m AS (SELECT *, {mean('b', 'n')} AS own, {mean('all_b - b', 'all_n - n')} AS others FROM nodes JOIN s USING (host, rest)),
 j AS (SELECT *, CASE WHEN abs(own - others) / sqrt({variance('own', 'n')} + {variance('others', 'all_n - n')}) <= {SIGNIFICANT} THEN '*' ELSE head END AS branch FROM m),
