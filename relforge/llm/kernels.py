@@ -177,9 +177,18 @@ def shingle_hashes(hashes: np.ndarray, row: np.ndarray, rows: int, width: int) -
     return out, of
 
 
+def order_in_rows(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order by row, then value: a fast unstable sort of the values and a radix sort of the rows."""
+    first = np.argsort(values)
+    of = row[first]
+    if len(row) and int(row.max()) < 65536:
+        of = of.astype(np.uint16)
+    return first[np.argsort(of, kind="stable")]
+
+
 def row_sets(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values in ascending order, joined, and the offsets of the rows."""
-    order = np.lexsort((values, row))
+    order = order_in_rows(values, row)
     values, row = values[order], row[order]
     keep = np.ones(len(values), dtype=bool)
     keep[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])

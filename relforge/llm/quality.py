@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import _SPACE, chunks, mix64, text_buffers, word_hashes
+from .kernels import _SPACE, chunks, mix64, order_in_rows, text_buffers, word_hashes
 from .runtime import small_batches
 from .sampling import labelled_texts
 
@@ -68,7 +68,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             pair, prow = bigrams(hashes, row)
             add(pair, prow, seed + 1)
             if seed == 11 and len(pair):
-                order = np.lexsort((pair, prow))
+                order = order_in_rows(pair, prow)
                 again = np.zeros(len(pair), dtype=bool)
                 again[order[1:]] = (pair[order[1:]] == pair[order[:-1]]) & (prow[order[1:]] == prow[order[:-1]])
                 add(np.zeros(int(again.sum()), dtype=np.uint64), prow[again], 37, np.bincount(prow, minlength=rows))
