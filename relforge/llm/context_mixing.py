@@ -1,6 +1,6 @@
 """Operator 8: language-model scores by logistic context mixing.
 
-A text is predicted bit by bit.  For each bit there are predictors over hashed
+A text is predicted bit by bit.  For each bit there are predictors over the
 contexts of 0 to ORDERS - 1 bytes before it; their logits are added up with
 weights that the bit's place in its byte gates, and the mix is refined by an
 adaptive table of what really came.  Everything is learned from the counts of
@@ -8,35 +8,43 @@ all byte n-grams of all training texts: the predictors by adding up, weights
 by online updates over the n-grams (each leaving its own occurrence out), the
 refinement by adding up again.  A text's score depends on the text alone.
 
-A byte's probability depends on the ORDERS - 1 bytes before it only, so each
-task computes it once for every distinct n-gram that it meets.
+No two contexts share a count, however many there are: the n-grams are dealt to
+tasks by the two bytes before the last, so that whole contexts of two bytes and
+more are in one task, which counts there by sorting; shorter ones have 65,536
+counts in all.  A byte's probability depends on the ORDERS - 1 bytes before it
+only, so it is computed once for every distinct n-gram of the documents.  The
+most frequent n-grams' go to every task; the others' are joined.
 
 Beside it stands a base score: the unigram probability of the text's words.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import chunks, mix64, text_buffers, word_hashes
+from .kernels import chunks, text_buffers, word_hashes
 from .runtime import Written, remainder, small_batches
 
 ORDERS = 6
-#: Slots of each order's table, as powers of two; the first two orders need no hashing.
-SLOT_BITS = (8, 16, 18, 20, 21, 22)
-_FIRST = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 DELTA, RATE, BATCH, START = 0.4, 0.02, 4096, 0.3
 #: Cells of the refinement for each gate, over logits -8 to 8.
 CELLS = 33
 #: Words whose counts go to every task; the others' are joined.
 HEAD = 1 << 16
+#: N-grams whose probabilities go to every task at most; the others' are joined.
+GRAM_HEAD = 1 << 20
+#: N-grams that a task counts at once, besides the rest of a two-byte context.
+BLOCK = 1 << 17
+#: Log probabilities are added up as whole numbers of this part, so that their order doesn't matter.
+UNIT = 1 << 24
 _END = np.uint64(0x656E64)
-_CACHE_BITS = 20
+_LEARNED = np.uint64(1 << 8 * ORDERS)
+_HEAD_BITS = 21
 _GATHER = 1 << 21
 
 
@@ -55,83 +63,176 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return key[use], row[use]
 
 
-def _slots(keys: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of each order as orders x keys, gate) for one bit of the lowest byte, the highest bit first."""
-    node = np.uint64(1 << bit) | (keys & np.uint64(255)) >> np.uint64(8 - bit)
-    out = np.empty((ORDERS, len(keys)), dtype=np.int64)
-    for order in range(ORDERS):
-        if order == 0:
-            at = node
-        else:
-            context = keys >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
-            at = context << np.uint64(8) | node
-            if order > 1:
-                with np.errstate(over="ignore"):
-                    at = mix64(at + np.uint64(order << 56)) >> np.uint64(64 - SLOT_BITS[order])
-        out[order] = at.astype(np.int64) + _FIRST[order]
-    return out, node.astype(np.int64)
-
-
 def _bits(keys: np.ndarray, bit: int) -> np.ndarray:
     return (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(np.float64)
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _inputs(zeros: np.ndarray, ones: np.ndarray, slots: np.ndarray, came: np.ndarray | None = None) -> np.ndarray:
-    """Logits of the predictors; `came`: the bits of occurrences that are left out."""
-    n1, n0 = ones[slots].astype(np.float64), zeros[slots].astype(np.float64)
-    if came is not None:
-        n1, n0 = np.maximum(n1 - came, 0), np.maximum(n0 - (1 - came), 0)
-    return np.clip(np.log((n1 + DELTA) / (n0 + DELTA)), -9, 9)
+class _Counts:
+    """Counts of all contexts of some n-grams (distinct; whole two-byte contexts), with the counts of shorter ones."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: np.ndarray):
+        self.keys, self.n = keys, n
+        self.orders = []  # for each order (9 x entries: how often the byte began with so many of its bits, entry of each key)
+        for order in range(ORDERS):
+            own = keys & np.uint64((1 << 8 * (order + 1)) - 1)
+            if order == 0:
+                entry, at, count = np.arange(256, dtype=np.uint64), own.astype(np.int64), low.reshape(256, 256).sum(axis=0)
+            elif order == 1:
+                entry, at, count = np.arange(1 << 16, dtype=np.uint64), own.astype(np.int64), low
+            else:
+                entry, at = np.unique(own, return_inverse=True)
+                count = np.bincount(at, weights=n, minlength=len(entry))
+            total = np.empty((9, len(entry)))
+            for bits in range(9):
+                head = entry >> np.uint64(8 - bits)
+                first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+                total[bits] = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(head))))
+            self.orders.append((total, at))
+
+    def inputs(self, at: np.ndarray, bit: int, leave: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits of the predictors as orders x keys, gate, bit that came) for one bit of the keys' lowest bytes, the highest bit first.
+
+        `leave`: each key's own occurrence is left out.
+        """
+        keys = self.keys[at]
+        came = _bits(keys, bit)
+        out = np.empty((ORDERS, len(keys)))
+        for order, (total, entry) in enumerate(self.orders):
+            k = entry[at]
+            same = total[bit + 1][k]
+            other = total[bit][k] - same
+            if leave:
+                same = np.maximum(same - 1, 0)
+            out[order] = np.log((same + DELTA) / (other + DELTA))
+        gate = np.uint64(1 << bit) | (keys & np.uint64(255)) >> np.uint64(8 - bit)
+        return np.clip(out * (2 * came - 1), -9, 9), gate.astype(np.int64), came
+
+
+def _blocks(batches, low: np.ndarray):
+    """The counts of a task's n-grams (key, n, m), in blocks of whole two-byte contexts, with their m."""
+    got = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+    if not got:
+        return
+    keys, n, m = (np.concatenate(c) for c in zip(*got, strict=True))
+    keys, n = keys.view(np.uint64), n.astype(np.float64)
+    context = keys >> np.uint64(8) & np.uint64(0xFFFF)
+    order = np.lexsort((keys, context * np.uint64(40503) & np.uint64(0xFFFF)))  # contexts in a mixed order
+    keys, n, m, context = keys[order], n[order], m[order], context[order]
+    starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    a = 0
+    while a < len(keys):
+        k = np.searchsorted(starts, a + BLOCK)
+        e = int(starts[k]) if k < len(starts) else len(keys)
+        yield _Counts(keys[a:e], n[a:e], low), m[a:e]
+        a = e
 
 
 @dataclass
 class Model:
-    logits: np.ndarray  # of all slots, float32
+    grams: Written  # key, n (in training texts), m (in all)
+    low: np.ndarray  # counts of all two-byte strings
     weights: np.ndarray  # 256 gates x orders
     refined: np.ndarray  # 256 gates x CELLS, probabilities of a 1
     counts: dict[str, int]
+    _known: dict[int, float] = field(default_factory=dict)
+
+    def scored(self, grams: DataFrame) -> DataFrame:
+        """key, m and log10 of the probability of the key's lowest byte after the others, in parts of UNIT, for n-grams (key, n, m), all those of training among them."""
+        held = grams.sparkSession.sparkContext.broadcast((self.low, self.weights, self.refined))
+
+        def run(batches):
+            low_counts, weights, refined = held.value
+            for counts, m in _blocks(batches, low_counts):
+                for k in range(0, len(m), 65536):
+                    at = np.arange(k, min(k + 65536, len(m)))
+                    total = np.zeros(len(at))
+                    for bit in range(8):
+                        x, gate, came = counts.inputs(at, bit, False)
+                        mixed = np.einsum("ok,ko->k", x, weights[gate])
+                        low, part = _cells(mixed)
+                        fine = refined[gate, low] * (1 - part) + refined[gate, low + 1] * part
+                        p = np.clip((_squash(mixed) + fine) / 2, 1e-6, 1 - 1e-6)
+                        total += np.log10(np.where(came == 1, p, 1 - p))
+                    whole = np.rint(total * UNIT).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys[at].view(np.int64)), pa.array(m[at]), pa.array(whole)], names=["key", "m", "score"])
+
+        return _dealt(grams).mapInArrow(run, "key long, m long, score long")
 
-    def __post_init__(self):
-        self._keys = self._values = None
+    def compute(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of the lowest bytes after the others, without those known from before."""
+        grams = self.grams.df
+        new = grams.sparkSession.createDataFrame([(int(k),) for k in np.unique(keys)], "key long")
+        rows = grams.select("key", "n", F.lit(0).cast("long").alias("m")).unionAll(new.select("key", F.lit(0).cast("long"), F.lit(1).cast("long")))
+        got = self.scored(rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))).where("m > 0").collect()
+        value = {r.key: r.score / UNIT for r in got}
+        return np.array([value[int(k)] for k in keys])
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        new = np.array([k for k in keys if int(k) not in self._known], dtype=np.uint64)
+        if len(new):
+            self._known.update(zip(map(int, new), self.compute(new).tolist(), strict=True))
+        return np.array([self._known[int(k)] for k in keys])
+
+
+class _Head:
+    """The values of the most frequent n-grams, in two tables by different hashes; an n-gram with no place in either is looked for elsewhere."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self._tables = keys, values, None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+        return self.keys, self.values
 
     def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._keys = self._values = None
+        (self.keys, self.values), self._tables = state, None
 
-    def compute(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probabilities of the lowest bytes after the others, without the cache."""
-        total = np.zeros(len(keys))
-        for bit in range(8):
-            slots, gate = _slots(keys, bit)
-            mixed = np.einsum("ok,ko->k", self.logits[slots].astype(np.float64), self.weights[gate])
-            low, part = _cells(mixed)
-            fine = self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part
-            p = np.clip((_squash(mixed) + fine) / 2, 1e-6, 1 - 1e-6)
-            came = _bits(keys, bit)
-            total += np.log10(np.where(came == 1, p, 1 - p))
-        return total.astype(np.float32)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        if self._keys is None:
-            self._keys = np.full(1 << _CACHE_BITS, np.uint64(0xFFFFFFFFFFFFFFFF))
-            self._values = np.zeros(1 << _CACHE_BITS, dtype=np.float32)
+    @staticmethod
+    def _at(keys: np.ndarray, factor: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            at = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-        out = self._values[at]
-        missed = np.flatnonzero(self._keys[at] != keys)
-        if len(missed):
-            new, inverse = np.unique(keys[missed], return_inverse=True)
-            value = np.concatenate([self.compute(new[k : k + 65536]) for k in range(0, len(new), 65536)])
-            out[missed] = value[inverse]
-            self._keys[at[missed]], self._values[at[missed]] = keys[missed], out[missed]
-        return out
+            return ((keys * np.uint64(factor)) >> np.uint64(64 - _HEAD_BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, 0 where there is none; indexes of the keys without one)."""
+        if self._tables is None:
+            self._tables, left = [], np.arange(len(self.keys))
+            for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+                at = self._at(self.keys[left], factor)
+                own, value = np.full(1 << _HEAD_BITS, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << _HEAD_BITS)
+                own[at[::-1]], value[at[::-1]] = self.keys[left][::-1], self.values[left][::-1]  # the first, more frequent one stays
+                self._tables.append((factor, own, value))
+                left = left[own[at] != self.keys[left]]
+        out, missed = np.zeros(len(keys)), np.arange(len(keys))
+        for factor, own, value in self._tables:
+            at = self._at(keys[missed], factor)
+            found = own[at] == keys[missed]
+            out[missed[found]] = value[at[found]]
+            missed = missed[~found]
+        return out, missed
+
+
+def _head(scored: DataFrame) -> _Head:
+    """The most frequent n-grams, GRAM_HEAD at most: those from some frequency on."""
+    step = F.floor(F.log2("m") * 16)
+    least, n = None, 0
+    for r in sorted(scored.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("m").alias("least")).collect(), key=lambda r: -r.step):
+        n += r.n
+        if n > GRAM_HEAD:
+            break
+        least = r.least
+    def packed(batches):
+        for batch in batches:
+            blobs = [pa.array([c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(blobs, names=["key", "m", "score"])
+
+    top = scored.where(F.col("m") >= least if least is not None else F.lit(False)).select("key", "m", "score")
+    got = top.mapInArrow(packed, "key binary, m binary, score binary").collect()
+    keys, m, score = (np.frombuffer(b"".join(r[k] for r in got), dtype=np.int64) for k in range(3))
+    order = np.lexsort((keys, -m))
+    return _Head(keys[order].view(np.uint64), score[order].astype(np.float64))
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def _cells(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +253,9 @@ def _summed(kind_of_key):
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
+            learned = batch.column(1).to_numpy(zero_copy_only=False)
             for a, e in chunks(offsets):
-                waiting.append(kind_of_key(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a]))
+                waiting.append(kind_of_key(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a], learned[a:e]))
                 n += len(waiting[-1])
                 if n >= _GATHER:
                     yield send()
@@ -164,72 +266,37 @@ def _summed(kind_of_key):
     return run
 
 
-def _word_keys(data, offsets):
+def _word_keys(data, offsets, learned):
     return np.concatenate([word_hashes(data, offsets)[0], np.full(len(offsets) - 1, _END)])
 
 
-def _gram_only(data, offsets):
-    return gram_keys(data, offsets)[0]
-
+def _marked_grams(data, offsets, learned):
+    key, row = gram_keys(data, offsets)
+    return key | np.where(learned, _LEARNED, np.uint64(0))[row]
 
-def _counted(texts: DataFrame, kind_of_key) -> Written:
-    return Written(texts.mapInArrow(_summed(kind_of_key), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
 
+def _summed_keys(texts: DataFrame, kind_of_key) -> DataFrame:
+    return texts.mapInArrow(_summed(kind_of_key), "key long, n long")
 
-def _tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of zeros and ones in all slots; what comes to the driver has a fixed size."""
-    size, part = int(_FIRST[-1]), 1 << 16
-
-    def add(batches):
-        total = np.zeros(2 * size)
-        for batch in batches:
-            keys, n = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            for bit in range(8):
-                slots, _ = _slots(keys, bit)
-                came = _bits(keys, bit).astype(np.int64)
-                for order in range(ORDERS):
-                    first, end = 2 * _FIRST[order], 2 * _FIRST[order + 1]
-                    total[first:end] += np.bincount(2 * (slots[order] - _FIRST[order]) + came, weights=n, minlength=end - first)
-        for k in range(0, 2 * size, part):
-            own = total[k : k + part].astype(np.float32)
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["first", "own"])
-
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(blob.as_buffer(), dtype=np.float32)
-                sums[k] = sums[k] + own if k in sums else own
-        for k, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own.astype(np.float32).tobytes()], pa.binary())], names=["first", "own"])
-
-    out = np.zeros(2 * size, dtype=np.float32)
-    for r in grams.mapInArrow(add, "first long, own binary").repartition("first").mapInArrow(merge, "first long, own binary").collect():
-        own = np.frombuffer(r.own, dtype=np.float32)
-        out[r.first : r.first + len(own)] = own
-    return out[0::2].copy(), out[1::2].copy()
 
+def _dealt(grams: DataFrame) -> DataFrame:
+    """The n-grams in tasks that hold all those of a two-byte context."""
+    return grams.select("key", "n", "m").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))
 
-def _columns(batch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
 
-
-def _mixer(grams: DataFrame, tables) -> np.ndarray:
-    """Weights by online updates over each partition's n-grams, averaged by their counts."""
+def _mixer(grams: DataFrame, low) -> np.ndarray:
+    """Weights by online updates over each task's n-grams, averaged by their counts."""
 
     def learn(batches):
-        zeros, ones = tables.value
         weights, mass = np.full((256, ORDERS), START), 0.0
-        for batch in batches:
-            all_keys, all_n = _columns(batch)
-            for k in range(0, len(all_keys), BATCH):
-                keys, n = all_keys[k : k + BATCH], all_n[k : k + BATCH]
+        for counts, _ in _blocks(batches, low.value):
+            mixed_up = np.random.default_rng(len(counts.n)).permutation(np.flatnonzero(counts.n))
+            for k in range(0, len(mixed_up), BATCH):
+                at = mixed_up[k : k + BATCH]
+                n = counts.n[at]
                 mass += n.sum()
                 for bit in range(8):
-                    slots, gate = _slots(keys, bit)
-                    came = _bits(keys, bit)
-                    x = _inputs(zeros, ones, slots, came)
+                    x, gate, came = counts.inputs(at, bit, True)
                     error = (came - _squash(np.einsum("ok,ko->k", x, weights[gate]))) * n
                     total = np.bincount(gate, weights=n, minlength=256)
                     for order in range(ORDERS):
@@ -237,35 +304,34 @@ def _mixer(grams: DataFrame, tables) -> np.ndarray:
                         weights[:, order] += RATE * step
         yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([weights.tobytes()], pa.binary())], names=["mass", "weights"])
 
-    got = grams.mapInArrow(learn, "mass double, weights binary").where("mass > 0").collect()
+    got = _dealt(grams).mapInArrow(learn, "mass double, weights binary").where("mass > 0").collect()
     total, mass = np.zeros((256, ORDERS)), sum(r.mass for r in got)
     for r in got:
         total += np.frombuffer(r.weights).reshape(256, ORDERS) * (r.mass / mass)
     return total if got else np.full((256, ORDERS), START)
 
 
-def _refinement(grams: DataFrame, tables, weights: np.ndarray) -> np.ndarray:
+def _refinement(grams: DataFrame, low, weights: np.ndarray) -> np.ndarray:
     """What share of bits were 1 where the mix said so much, for each gate."""
 
     def learn(batches):
-        zeros, ones = tables.value
         total = np.zeros((2, 256 * CELLS))
-        for batch in batches:
-            all_keys, all_n = _columns(batch)
-            for k in range(0, len(all_keys), 65536):
-                keys, n = all_keys[k : k + 65536], all_n[k : k + 65536]
+        for counts, _ in _blocks(batches, low.value):
+            known = np.flatnonzero(counts.n)
+            for k in range(0, len(known), 65536):
+                at = known[k : k + 65536]
+                n = counts.n[at]
                 for bit in range(8):
-                    slots, gate = _slots(keys, bit)
-                    came = _bits(keys, bit)
-                    low, part = _cells(np.einsum("ok,ko->k", _inputs(zeros, ones, slots, came), weights[gate]))
-                    for cell, w in ((low, (1 - part) * n), (low + 1, part * n)):
-                        at = gate * CELLS + cell
-                        total[0] += np.bincount(at, weights=w, minlength=256 * CELLS)
-                        total[1] += np.bincount(at, weights=w * came, minlength=256 * CELLS)
+                    x, gate, came = counts.inputs(at, bit, True)
+                    cell, part = _cells(np.einsum("ok,ko->k", x, weights[gate]))
+                    for cells, w in ((cell, (1 - part) * n), (cell + 1, part * n)):
+                        place = gate * CELLS + cells
+                        total[0] += np.bincount(place, weights=w, minlength=256 * CELLS)
+                        total[1] += np.bincount(place, weights=w * came, minlength=256 * CELLS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     total = np.zeros((2, 256 * CELLS))
-    for r in grams.mapInArrow(learn, "total binary").collect():
+    for r in _dealt(grams).mapInArrow(learn, "total binary").collect():
         total += np.frombuffer(r.total).reshape(2, -1)
     start = np.tile(_squash(np.linspace(-8, 8, CELLS)), 256)
     return ((total[1] + 4 * start) / (total[0] + 4)).reshape(256, CELLS)
@@ -274,25 +340,39 @@ def _refinement(grams: DataFrame, tables, weights: np.ndarray) -> np.ndarray:
 def train(texts: DataFrame) -> tuple[Model, Written]:
     """The model of all rows of `texts` (text), and the written counts of their words (key, n).
 
-    Null texts are empty ones.  Without rows every bit is as likely as not, and
-    no word is known.
+    Where there is a column `learned`, rows in which it isn't true are only
+    counted among the n-grams that are to be scored.  Null texts are empty ones.
+    Without rows every bit is as likely as not, and no word is known.
     """
     sc = texts.sparkSession.sparkContext
     small_batches(texts.sparkSession)
-    texts = texts.select(F.col("text").cast("string").alias("text"))
-    words = _counted(texts, _word_keys)
+    learned = F.coalesce("learned", F.lit(False)) if "learned" in texts.columns else F.lit(True)
+    texts = texts.select(F.col("text").cast("string").alias("text"), learned.alias("learned"))
+    words = Written(_summed_keys(texts.where("learned"), _word_keys).groupBy("key").agg(F.sum("n").alias("n")))
     n, v = words.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    grams = _counted(texts, _gram_only)
-    mixed_up = Written(grams.df.repartition(F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key", F.lit(1))))
-    grams.drop()
-    zeros, ones = _tables(mixed_up.df)
-    tables = sc.broadcast((zeros, ones))
-    weights = _mixer(mixed_up.df, tables)
-    refined = _refinement(mixed_up.df, tables, weights)
-    mixed_up.drop()
-    tables.unpersist()
-    logits = np.clip(np.log((ones + DELTA) / (zeros + DELTA)), -9, 9).astype(np.float32)
-    return Model(logits, weights, refined, {"n": int(n), "v": int(v)}), words
+    mark = int(_LEARNED)
+    marked = _summed_keys(texts, _marked_grams)
+    grams = Written(marked.groupBy(F.col("key").bitwiseAND(mark - 1).alias("key")).agg(
+        F.sum(F.when(F.col("key") >= mark, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("m")
+    ))
+    low = np.zeros(1 << 16)
+    for r in grams.df.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).collect():
+        low[r.key] = r.n
+    held = sc.broadcast(low)
+    weights = _mixer(grams.df, held)
+    refined = _refinement(grams.df, held, weights)
+    held.unpersist()
+    return Model(grams, low, weights, refined, {"n": int(n), "v": int(v)}), words
+
+
+def _listed(keys: np.ndarray, of: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """Each row's distinct keys, and how often they come."""
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(first, len(keys))).astype(np.int32)
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=rows))]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(keys[first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times))
 
 
 def score_texts(documents: DataFrame, training: Column) -> DataFrame:
@@ -306,15 +386,17 @@ def score_texts(documents: DataFrame, training: Column) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, words = train(docs.where(training).select("text"))
+    model, words = train(docs.select("text", training.alias("learned")))
+    probable = Written(model.scored(model.grams.df))
+    model.grams.drop()
     top = words.df.orderBy(F.desc("n"), "key").limit(HEAD).toPandas().sort_values("key")
     keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
-    held = spark.sparkContext.broadcast((model, keys[order], top["n"].to_numpy(dtype=np.float64)[order]))
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "keys", "times"]
+    held = spark.sparkContext.broadcast((_head(probable.df), keys[order], top["n"].to_numpy(dtype=np.float64)[order]))
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "keys", "times", "grams", "gram_times"]
 
     def run(batches):
-        m, head, n = held.value
+        frequent, head, n = held.value
         gain = np.log10(n + 1)
         for batch in batches:
             data, offsets = text_buffers(batch.column(3))
@@ -322,39 +404,37 @@ def score_texts(documents: DataFrame, training: Column) -> DataFrame:
                 rows = e - a
                 own, bytes_ = offsets[a : e + 1] - offsets[a], data[offsets[a] : offsets[e]]
                 gram, row = gram_keys(bytes_, own)
-                score = np.bincount(row, weights=m.log10(gram), minlength=rows)
+                value, missed = frequent.find(gram)
+                score = np.bincount(row, weights=value, minlength=rows)
+                grams, gram_times = _listed(gram[missed], row[missed], rows)
                 word, row = word_hashes(bytes_, own)
                 tokens = np.bincount(row, minlength=rows) + 1
                 word, row = np.concatenate([word, np.full(rows, _END)]), np.concatenate([row, np.arange(rows)])
                 at = np.minimum(np.searchsorted(head, word), max(len(head) - 1, 0))
                 known = head[at] == word if len(head) else np.zeros(len(word), dtype=bool)
                 base = np.bincount(row[known], weights=gain[at[known]], minlength=rows)
-                rare, of = word[~known], row[~known]
-                order = np.lexsort((rare, of))
-                rare, of = rare[order], of[order]
-                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])) if len(rare) else np.zeros(0, dtype=np.int64)
-                times = np.diff(np.append(first, len(rare))).astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=rows))])
+                rare, times = _listed(word[~known], row[~known], rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(k).slice(a, rows) for k in range(3)), pa.array(tokens, pa.int64()),
-                        pa.array(np.bincount(row[known], minlength=rows), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                        pa.array(np.diff(own), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare[first].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times)),
+                        pa.array(np.bincount(row[known], minlength=rows), pa.int64()), pa.array(base, pa.float64()), pa.array(score.astype(np.int64)),
+                        pa.array(np.diff(own), pa.int64()), rare, times, grams, gram_times,
                     ],
                     names=names,
                 )
 
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, keys array<long>, times array<int>"
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score long, n_bytes long, keys array<long>, times array<int>, grams array<long>, gram_times array<int>"
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (~training).alias("held_out"), "text")
     scored = Written(numbered.mapInArrow(run, kind))
     rare = scored.df.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     sums = rare.join(words.df, "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
+    few = scored.df.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
+    rest = few.join(probable.df.select("key", "score"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("more_score"))
     fixed = float(np.log10(model.counts["n"] + model.counts["v"] + 1))
-    return scored.df.drop("keys", "times").join(sums, "row", "left").select(
+    return scored.df.drop("keys", "times", "grams", "gram_times").join(sums, "row", "left").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.counts["n"]).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * fixed).alias("base_score"),
-        "score", "n_bytes",
+        ((F.col("score") + F.coalesce("more_score", F.lit(0))) / UNIT).alias("score"), "n_bytes",
     )
 
 

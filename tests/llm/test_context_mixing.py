@@ -75,3 +75,38 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     r = cm.score_texts(df, F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (2, 0, 0) and r.base_score == 0.0 and r.score < 0
+
+
+def test_no_contexts_share_counts(spark):
+    rng = random.Random(3)
+    text = "".join(chr(rng.randrange(32, 127)) for _ in range(200_000))  # far more contexts than 2^18 of two bytes
+    model, _ = cm.train(spark.createDataFrame([(text,)], "text string"))
+    raw = bytes(cm.ORDERS - 1) + text.encode() + b"\0"
+    keys = [int.from_bytes(raw[k : k + cm.ORDERS], "big") for k in range(0, len(text), 20_011)] + [0x4142434445FF]
+    counts = Counter()
+    for k in range(cm.ORDERS - 1, len(raw)):
+        for order in range(cm.ORDERS):
+            counts[raw[k - order : k + 1]] += 1
+    by_context = {}
+    for gram, n in counts.items():
+        by_context.setdefault(gram[:-1], []).append((gram[-1], n))
+    for key, got in zip(keys, model.compute(np.array(keys, dtype=np.uint64)), strict=True):
+        own, want = key.to_bytes(cm.ORDERS, "big"), 0.0
+        for bit in range(8):
+            gate, came, mixed = 1 << bit | own[-1] >> 8 - bit, own[-1] >> 7 - bit & 1, 0.0
+            for order in range(cm.ORDERS):
+                fits = [(b >> 7 - bit & 1, n) for b, n in by_context.get(own[cm.ORDERS - 1 - order : -1], []) if b >> 8 - bit == own[-1] >> 8 - bit]
+                n1, n0 = (sum(n for b, n in fits if b == x) for x in (1, 0))
+                mixed += model.weights[gate, order] * np.clip(np.log((n1 + cm.DELTA) / (n0 + cm.DELTA)), -9, 9)
+            low, part = cm._cells(np.array([mixed]))
+            fine = model.refined[gate, low[0]] * (1 - part[0]) + model.refined[gate, low[0] + 1] * part[0]
+            p = np.clip((1 / (1 + np.exp(-mixed)) + fine) / 2, 1e-6, 1 - 1e-6)
+            want += log10(p if came else 1 - p)
+        assert isclose(got, want, rel_tol=1e-5)
+
+
+def test_joined_grams_score_as_those_sent_to_all_tasks(spark, monkeypatch):
+    rows = corpus()
+    want = sorted((str(r.doc_id), r.n_bytes, r.score) for r in scored(spark, rows))
+    monkeypatch.setattr(cm, "GRAM_HEAD", 40)
+    assert sorted((str(r.doc_id), r.n_bytes, r.score) for r in scored(spark, rows)) == want
