@@ -1,9 +1,9 @@
 """Operator 10: toxicity by a weighted lexicon.
 
-Texts are lower-cased, letters that look like Latin ones become them, and in a
-second reading digits and marks used as letters do too.  An Aho-Corasick
+Texts are lower-cased, letters that look like Latin ones become them, and in
+further readings digits and marks used as letters do too.  An Aho-Corasick
 automaton finds the lexicon's entries (whole words, and stems that begin a
-word) in both readings; matches inside an exception phrase don't count.  The
+word) in all readings; matches inside an exception phrase don't count.  The
 sum of weights, normalised by the text's length, gives a score through a
 logistic curve.  Weights and curve are learned from labels.
 """
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -44,21 +46,31 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "sore loser", "take out the trash", "stupid simple")
 
-_HOMOGLYPHS = str.maketrans(HOMOGLYPHS)
+
+def _compatible() -> dict[str, str]:
+    """Characters that NFKC makes one Latin letter (full-width, mathematical, circled ...), and full-width digits and marks."""
+    folded = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(128, sys.maxunicode + 1))
+    return {c: x.lower() for c, x in folded if len(x) == 1 and x.isascii() and (x.isalpha() or "\uff01" <= c <= "\uff5e")}
+
+
+_HOMOGLYPHS = str.maketrans(_compatible() | HOMOGLYPHS)
 _SUBSTITUTES = str.maketrans(SUBSTITUTES)
-_MIXED = re.compile(r"[^\W\d_][0-9@$!]+[^\W\d_]|(?:^|(?<=\s))[0-9@$][^\W\d_]")
+#: 1 and ! are used as l too.
+_AS_L = str.maketrans(SUBSTITUTES | {"1": "l", "!": "l"})
+_MIXED = re.compile(r"[^\W\d_][01345789@$!]|[01345789@$!][^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def readings(text: str) -> list[str]:
-    """The folded text, and where letters and substitutes mix, the text with these put back; all of equal length."""
+    """The folded text, and where a substitute touches a letter, the text with these put back, 1 and ! as i and as l; all of equal length."""
     low = text.lower()
     if len(low) != len(text):  # a few letters get longer
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     if not low.isascii():
         low = low.translate(_HOMOGLYPHS)
     if _MIXED.search(low):
-        return [low, low.translate(_SUBSTITUTES)]
+        put = low.translate(_SUBSTITUTES)
+        return [low, put, low.translate(_AS_L)] if "1" in low or "!" in low else [low, put]
     return [low]
 
 

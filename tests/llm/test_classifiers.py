@@ -173,3 +173,11 @@ def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "you idiot"), (2, "fine")], "doc_id long, text string")
     lexicon = toxicity.learn(d, spark.createDataFrame([], "doc_id long, toxic int"), "toxic", F.lit(True))
     assert {r.doc_id: r.n_matches for r in toxicity.score_toxicity(d, lexicon).collect()} == {1: 1, 2: 0}
+
+
+def test_substitutes_at_any_side_of_a_letter():
+    automaton = toxicity.Lexicon(dict.fromkeys(toxicity.SEEDS, 1.0)).automaton()
+    for text in ("idio7", "worthle55", "worthle$$", '"5cum"', "c1own", "1oser", "!oser", "(1diot)", "ｓｃｕｍ", "ＳＣＵＭ", "𝐬𝐜𝐮𝐦", "５cum"):
+        assert len(toxicity.matches(text, automaton)) == 1, text
+    for text in ("trash can!", "5 10 $", "scu 1", "3rd"):
+        assert toxicity.matches(text, automaton) == [], text
