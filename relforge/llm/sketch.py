@@ -77,3 +77,42 @@ def heavy_bits(counted: DataFrame, bits: int, least: int, times: float) -> tuple
         out[row.slot] = np.frombuffer(row.marks, dtype=np.uint8)
         highest = max(highest, row.bound)
     return np.unpackbits(out.ravel()).astype(bool), highest
+
+
+def _place(values: np.ndarray, bits: int, shift: int) -> np.ndarray:
+    return values >> np.uint64(shift) & np.uint64((1 << bits) - 1)
+
+
+def bitmaps(values: DataFrame, bits: int, shifts: tuple[int, ...]) -> list[np.ndarray]:
+    """For each shift 2**bits bits, packed, of which those are set that `bits` bits of the values (one column of longs), from the shift on, name.
+
+    Each of SLOTS parts is made by one task; 2**bits / 8 bytes a shift come to the driver.
+    """
+    part = (1 << bits) // SLOTS
+
+    def spread(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, shift in enumerate(shifts):
+                at = np.unique(_place(own, bits, shift)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((k * SLOTS + at // part).astype(np.int32)), pa.array((at % part).astype(np.int32))], names=["slot", "at"])
+
+    def run(batches):
+        marks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for s in np.unique(slot).tolist():
+                marks.setdefault(s, np.zeros(part, dtype=bool))[at[slot == s]] = True
+        for s, own in marks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["slot", "marks"])
+
+    out = np.zeros((len(shifts) * SLOTS, part // 8), dtype=np.uint8)
+    for row in values.mapInArrow(spread, "slot int, at int").repartition("slot").mapInArrow(run, "slot int, marks binary").collect():
+        out[row.slot] = np.frombuffer(row.marks, dtype=np.uint8)
+    return list(out.reshape(len(shifts), -1))
+
+
+def has_bits(marks: np.ndarray, values: np.ndarray, bits: int, shift: int) -> np.ndarray:
+    """Which of the values (uint64) have their bit set in `marks`, as `bitmaps` makes it."""
+    at = _place(values, bits, shift)
+    return (marks[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
