@@ -111,7 +111,15 @@ def matches(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int,
             weight = max(whole if ends else 0.0, stem)
             if weight > 0 and weight > best.get(start, (0, 0.0))[1]:
                 best[start] = (end, weight)
-    return sorted((s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in shut))
+    spans, out, k, reach = sorted(shut), [], 0, 0
+    for start in sorted(best):
+        while k < len(spans) and spans[k][0] <= start:
+            reach = max(reach, spans[k][1])  # the furthest end of an exception that begins no later
+            k += 1
+        end, weight = best[start]
+        if end > reach:
+            out.append((start, end, weight))
+    return out
 
 
 def raw_score(text: str, automaton: ahocorasick.Automaton) -> float:
