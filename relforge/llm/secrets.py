@@ -8,11 +8,14 @@ secret, a secret with an id or an endpoint, an endpoint with a secret.
 
 Only DataFrame functions are used, row by row and without a shuffle.  Spans are
 code points, the end exclusive.  A pattern's places come from splitting the text
-at its matches.
+at its matches.  Places, links and redactions are single sweeps over sorted
+arrays, so that a text costs little more than in proportion to its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +28,56 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the runs of 16 and more among all runs
 NAMED_ID = r"""((?i:user|username|login|client_?id|account|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})"""
 KEY_RUN = r"[A-Za-z0-9+/]{40,}"
+USERINFO = r"""(?:https?|ftp|postgres|mysql|redis|amqp)://[^\x20\x09-\x0D"'<>/@:]*:[^\x20\x09-\x0D"'<>/@]+@"""
 ENDPOINT = r"""(?:https?|ftp|postgres|mysql|redis|amqp)://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(?:[.][0-9]{1,3}){3}(?::[0-9]{2,5})?"""
 
 #: Kinds in the order in which spans that start together are listed; the first three are the base.
-KINDS = ("assign", "access", "hex", "named_id", "short_id", "short_secret", "key_run", "endpoint")
+KINDS = ("assign", "access", "hex", "named_id", "short_id", "short_secret", "key_run", "userinfo", "endpoint")
 STRONG = KINDS[:3]
-IDS, SECRETS, ENDPOINTS = ("access", "named_id", "short_id"), ("assign", "hex", "short_secret", "key_run"), ("endpoint",)
+IDS, SECRETS, ENDPOINTS = ("access", "named_id", "short_id"), ("assign", "hex", "short_secret", "key_run", "userinfo"), ("endpoint",)
 _SPAN = "array<struct<s:int,k:int,e:int,n:int>>"
+#: Steps of a sweep whose results are gathered at a time, and code points of a piece of text.
+_STEPS, _PIECE = 32, 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _swept(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The results (an array of the type `kind`) of step(state, item) -> (state, result) over the items in order.
+
+    An array that grows by an item a step is copied each time, so results are
+    gathered in short arrays, and these in one.
+    """
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc, x):
+        after, result = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
+
+    def several(acc, part):
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def whole(own):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / _STEPS).cast("int")), lambda k: F.slice(own, k * _STEPS + 1, F.lit(_STEPS)))
+        return F.when(F.size(own) > 0, F.aggregate(parts, F.struct(state.alias("state"), nothing.alias("out")), several, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+    return _let(items, whole)
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     """Spans of all matches as (start, kind -1, end, length of `group`)."""
-    empty = F.array().cast(_SPAN)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    part = (lambda x: F.regexp_extract(x, pattern, group)) if group else (lambda x: x)
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"))
+    sizes = F.transform(F.filter(pairs, lambda x: x["whole"].isNotNull()), lambda x: F.struct(F.char_length(x["gap"]).alias("g"), F.char_length(x["whole"]).alias("w"), F.char_length(part(x["whole"])).alias("n")))
 
-    def step(acc, x):
-        s = acc["at"] + F.char_length(x["gap"])
-        e = s + F.char_length(x["whole"])
-        span = F.struct(s.alias("s"), F.lit(-1).alias("k"), e.alias("e"), F.char_length(x["part"]).alias("n"))
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(x["whole"].isNotNull(), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def step(at, x):
+        return at + x["g"] + x["w"], F.struct((at + x["g"]).alias("s"), F.lit(-1).alias("k"), (at + x["g"] + x["w"]).alias("e"), x["n"].alias("n"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(empty)
+    return F.when(text.rlike(pattern), _swept(sizes, F.lit(0), step, "struct<s:int,k:int,e:int,n:int>")).otherwise(F.array().cast(_SPAN))
 
 
 def _of_kind(spans: Column, kind: str, least: int, most: int | None = None) -> Column:
@@ -57,38 +86,58 @@ def _of_kind(spans: Column, kind: str, least: int, most: int | None = None) -> C
     return F.transform(keep, lambda x: F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e")))
 
 
-def _near(x: Column, spans: Column, kinds: tuple[str, ...]) -> Column:
-    """Whether a span of `kinds` lies within the scope of x."""
-    wanted = [KINDS.index(k) for k in kinds]
-    return F.exists(spans, lambda y: y["k"].isin(wanted) & (F.greatest(x["s"], y["s"]) - F.least(x["e"], y["e"]) <= SCOPE))
+def _linked(parts: Column) -> Column:
+    """The weak ones of the parts (sorted) whose complement lies within the scope, by a sweep each way.
+
+    A complement that begins no later must reach to the scope before the part;
+    one that begins no earlier must begin in the scope behind it.
+    """
+    groups = [[KINDS.index(k) for k in kinds] for kinds in (SECRETS, IDS, ENDPOINTS)]
+    fields = ("secret", "id", "end")
+    kind = "struct<s:int,k:int,e:int,near:boolean>"
+
+    def seen(state, x, better, value):
+        return F.struct(*(F.when(x["k"].isin(g), better(state[f], value)).otherwise(state[f]).alias(f) for f, g in zip(fields, groups, strict=True)))
+
+    def near(state, x, fits):
+        wants_key = F.coalesce(fits(state["id"]), F.lit(False)) | F.coalesce(fits(state["end"]), F.lit(False))
+        return F.when(x["k"].isin(groups[0]), wants_key).otherwise(F.coalesce(fits(state["secret"]), F.lit(False)))
+
+    def marked(x, flag):
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), flag.alias("near"))
+
+    def ahead(state, x):
+        return seen(state, x, F.greatest, x["e"]), marked(x, near(state, x, lambda reach: reach >= x["s"] - SCOPE))
+
+    def back(state, x):
+        return seen(state, x, F.least, x["s"]), marked(x, x["near"] | near(state, x, lambda start: start <= x["e"] + SCOPE))
+
+    none = F.struct(*(F.lit(None).cast("int").alias(f) for f in fields))
+    both = _swept(F.reverse(_swept(parts, none, ahead, kind)), none, back, kind)
+    weak = F.filter(both, lambda x: x["near"] & (x["k"] >= len(STRONG)))
+    return F.transform(weak, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """`documents` (text and any others) with secret_base and secret_all: arrays of (s, k, e), the start, the kind's place in KINDS and the end.
 
-    Both are sorted by start, then kind.  A null or empty text has no spans.
-    Equal texts have equal spans; rows and other columns stay as they are; those
-    that begin with secret_ are the operator's own.
+    Both are sorted by start, then kind.  A null or empty text has no spans; a
+    very long text, however many spans it has, is scanned whole.  Equal texts
+    have equal spans; rows and other columns stay as they are; those that begin
+    with secret_ are the operator's own.  No row gives no row.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    first = documents.withColumns({
-        "secret_assigns": _found(text, ASSIGN, 2), "secret_accesses": _found(text, ACCESS), "secret_hexes": _found(text, HEX),
-        "secret_names": _found(text, NAMED_ID, 2), "secret_runs": _found(text, KEY_RUN), "secret_ends": _found(text, ENDPOINT),
-    })
+    own = {"assigns": (ASSIGN, 2), "accesses": (ACCESS, 0), "hexes": (HEX, 0), "names": (NAMED_ID, 2), "runs": (KEY_RUN, 0), "users": (USERINFO, 0), "ends": (ENDPOINT, 0)}
+    first = documents.withColumns({f"secret_{name}": _found(text, *pattern) for name, pattern in own.items()})
     base = F.array_sort(F.concat(_of_kind(F.col("secret_assigns"), "assign", 12), _of_kind(F.col("secret_accesses"), "access", 18), _of_kind(F.col("secret_hexes"), "hex", 16)))
     weak = F.concat(
-        _of_kind(F.col("secret_names"), "named_id", 3), _of_kind(F.col("secret_accesses"), "short_id", 12, 17),
-        _of_kind(F.col("secret_assigns"), "short_secret", 6, 11), _of_kind(F.col("secret_runs"), "key_run", 40, 40), _of_kind(F.col("secret_ends"), "endpoint", 1),
+        _of_kind(F.col("secret_names"), "named_id", 3), _of_kind(F.col("secret_accesses"), "short_id", 12, 17), _of_kind(F.col("secret_assigns"), "short_secret", 6, 11),
+        _of_kind(F.col("secret_runs"), "key_run", 40), _of_kind(F.col("secret_users"), "userinfo", 1), _of_kind(F.col("secret_ends"), "endpoint", 1),
     )
-    second = first.withColumns({"secret_base": base, "secret_weak": weak})
-    parts = F.concat("secret_base", "secret_weak")
-    linked = F.filter(
-        F.col("secret_weak"),
-        lambda x: F.when(x["k"].isin([KINDS.index(k) for k in SECRETS]), _near(x, F.col("secret_parts"), IDS + ENDPOINTS)).otherwise(_near(x, F.col("secret_parts"), SECRETS)),
-    )
-    third = second.withColumn("secret_parts", parts)
-    out = third.withColumn("secret_all", F.array_sort(F.concat("secret_base", linked)))
-    return out.drop("secret_assigns", "secret_accesses", "secret_hexes", "secret_names", "secret_runs", "secret_ends", "secret_weak", "secret_parts")
+    second = first.withColumns({"secret_base": base, "secret_parts": F.array_sort(F.concat(base, weak))})
+    linked = F.when(F.size("secret_parts") > F.size("secret_base"), _linked(F.col("secret_parts"))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+    out = second.withColumn("secret_all", F.array_sort(F.concat("secret_base", linked)))
+    return out.drop(*(f"secret_{name}" for name in own), "secret_parts")
 
 
 def listed(spans: Column) -> Column:
@@ -100,19 +149,22 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans, endpoints left out, replaced by `mark`."""
     kept = F.filter(spans, lambda x: x["k"] != KINDS.index("endpoint"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, x):
-        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when((x["s"] >= acc["at"]) & ((x["s"] > acc["at"]) | (acc["at"] == 0)), F.concat(acc["out"], F.array(piece)))
-            .when(x["s"] == acc["at"], F.concat(acc["out"], F.array(F.lit(mark))))
-            .otherwise(acc["out"]).alias("out"),
-        )
+    def between(pieces, a, e):
+        first, last = F.floor(a / _PIECE).cast("int"), F.floor(e / _PIECE).cast("int")
+        inside = F.substring(F.get(pieces, first), a % _PIECE + 1, e - a)
+        head, tail = F.substring(F.get(pieces, first), a % _PIECE + 1, F.lit(_PIECE)), F.coalesce(F.substring(F.get(pieces, last), F.lit(1), e % _PIECE), F.lit(""))
+        across = F.concat(head, F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)
+        return F.when(e <= a, F.lit("")).when(first == last, inside).otherwise(across)
+
+    def whole(pieces):
+        def step(at, x):
+            return F.greatest(at, x["e"]), F.when(x["s"] >= at, F.concat(between(pieces, at, x["s"]), F.lit(mark))).otherwise(F.lit(""))
+
+        out = F.array_join(_swept(kept, F.lit(0), step, "string"), "")
+        return F.concat(out, between(pieces, F.array_max(F.transform(kept, lambda x: x["e"])), F.char_length(text)))
 
-    whole = F.aggregate(kept, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(kept) > 0, whole).otherwise(text)
+    return F.when(F.size(kept) > 0, _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), whole)).otherwise(text)
 
 
 def secret_report(documents: DataFrame) -> DataFrame:
@@ -136,7 +188,7 @@ def oracle_sql() -> str:
 {name} AS (SELECT r, CAST(sum(length(gaps[i]) + length(whole)) OVER (PARTITION BY r ORDER BY i) - length(whole) AS BIGINT) AS s,
   CAST(sum(length(gaps[i]) + length(whole)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS e, length(part) AS n FROM {name}_m)"""
 
-    own = [("f_assign", ASSIGN, 2), ("f_access", ACCESS, 0), ("f_hex", HEX, 0), ("f_name", NAMED_ID, 2), ("f_run", KEY_RUN, 0), ("f_end", ENDPOINT, 0)]
+    own = [("f_assign", ASSIGN, 2), ("f_access", ACCESS, 0), ("f_hex", HEX, 0), ("f_name", NAMED_ID, 2), ("f_run", KEY_RUN, 0), ("f_user", USERINFO, 0), ("f_end", ENDPOINT, 0)]
     number = KINDS.index
     near = lambda kinds: f"EXISTS (SELECT 1 FROM parts y WHERE y.r = x.r AND y.k IN ({', '.join(str(number(k)) for k in kinds)}) AND greatest(x.s, y.s) - least(x.e, y.e) <= {SCOPE})"
     secrets = ", ".join(str(number(k)) for k in SECRETS)
@@ -148,7 +200,7 @@ base AS (SELECT r, s, {number('assign')} AS k, e FROM f_assign WHERE n >= 12 UNI
   UNION ALL SELECT r, s, {number('hex')}, e FROM f_hex WHERE n >= 16),
 weak AS (SELECT r, s, {number('named_id')} AS k, e FROM f_name UNION ALL SELECT r, s, {number('short_id')}, e FROM f_access WHERE n BETWEEN 12 AND 17
   UNION ALL SELECT r, s, {number('short_secret')}, e FROM f_assign WHERE n BETWEEN 6 AND 11
-  UNION ALL SELECT r, s, {number('key_run')}, e FROM f_run WHERE n = 40 UNION ALL SELECT r, s, {number('endpoint')}, e FROM f_end),
+  UNION ALL SELECT r, s, {number('key_run')}, e FROM f_run UNION ALL SELECT r, s, {number('userinfo')}, e FROM f_user UNION ALL SELECT r, s, {number('endpoint')}, e FROM f_end),
 parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM weak x WHERE CASE WHEN k IN ({secrets}) THEN {near(IDS + ENDPOINTS)} ELSE {near(SECRETS)} END),
 b AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg({one}, ',' ORDER BY s, k) AS l FROM base GROUP BY r),
