@@ -35,87 +35,77 @@ ENDPOINT = r"""(?:https?|ftp|postgres|mysql|redis|amqp)://[^\x20\x09-\x0D"'<>]+|
 KINDS = ("assign", "access", "hex", "named_id", "short_id", "short_secret", "key_run", "userinfo", "endpoint")
 STRONG = KINDS[:3]
 IDS, SECRETS, ENDPOINTS = ("access", "named_id", "short_id"), ("assign", "hex", "short_secret", "key_run", "userinfo"), ("endpoint",)
-_SPAN = "array<struct<s:int,k:int,e:int,n:int>>"
-#: Steps of a sweep whose results are gathered at a time, and code points of a piece of text.
+_PART = "struct<s:int,k:int,e:int>"
+#: Steps of a sweep whose results are gathered at a time, at least, and code points of a piece of text.
 _STEPS, _PIECE = 32, 256
 
+# What follows makes SQL text: a lambda's variables are named apart, and a value that is used often is a lambda's variable.
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _swept(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+
+def _swept(items: str, state: str, step: Callable[[str, str], tuple[str, str]], kind: str) -> str:
     """The results (an array of the type `kind`) of step(state, item) -> (state, result) over the items in order.
 
     An array that grows by an item a step is copied each time, so results are
-    gathered in short arrays, and these in one.
+    gathered in arrays of about the root of their number, and these in one.
     """
-    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
-
-    def one(acc, x):
-        after, result = step(acc["state"], x)
-        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
-
-    def several(acc, part):
-        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
-
-    def whole(own):
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / _STEPS).cast("int")), lambda k: F.slice(own, k * _STEPS + 1, F.lit(_STEPS)))
-        return F.when(F.size(own) > 0, F.aggregate(parts, F.struct(state.alias("state"), nothing.alias("out")), several, lambda acc: F.flatten(acc["out"]))).otherwise(none)
-
-    return _let(items, whole)
-
-
-def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    """Spans of all matches as (start, kind -1, end, length of `group`)."""
-    part = (lambda x: F.regexp_extract(x, pattern, group)) if group else (lambda x: x)
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"))
-    sizes = F.transform(F.filter(pairs, lambda x: x["whole"].isNotNull()), lambda x: F.struct(F.char_length(x["gap"]).alias("g"), F.char_length(x["whole"]).alias("w"), F.char_length(part(x["whole"])).alias("n")))
+    none = f"CAST(array() AS array<{kind}>)"
+    after, result = step("a.state", "x")
+    one = f"(a, x) -> named_struct('state', {after}, 'out', concat(a.out, array({result})))"
+    steps = f"greatest({_STEPS}, CAST(sqrt(size(own)) AS INT))"
+    parts = f"transform(sequence(0, CAST(floor((size(own) - 1) / {steps}) AS INT)), k -> transform(sequence(k * {steps}, least(k * {steps} + {steps}, size(own)) - 1), i -> get(own, i)))"
+    several = f"(acc, part) -> concat(acc, array(aggregate(part, named_struct('state', element_at(acc, -1).state, 'out', {none}), {one})))"
+    whole = f"flatten(transform(aggregate({parts}, array(named_struct('state', {state}, 'out', {none})), {several}), y -> y.out))"
+    return f"get(transform(array({items}), own -> CASE WHEN size(own) > 0 THEN {whole} ELSE {none} END), 0)"
+
+
+def _found(text: str, pattern: str, group: int = 0) -> str:
+    """Spans of all matches as (start, end, length of `group`)."""
+    kind, p = "struct<s:int,e:int,n:int>", _quoted(pattern)
+    part = f"regexp_extract(z.whole, {p}, {group})" if group else "z.whole"
+    pairs = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, whole) -> named_struct('gap', gap, 'whole', whole))"
+    sizes = f"transform(filter({pairs}, z -> z.whole IS NOT NULL), z -> named_struct('g', char_length(z.gap), 'w', char_length(z.whole), 'n', char_length({part})))"
 
     def step(at, x):
-        return at + x["g"] + x["w"], F.struct((at + x["g"]).alias("s"), F.lit(-1).alias("k"), (at + x["g"] + x["w"]).alias("e"), x["n"].alias("n"))
+        return f"{at} + {x}.g + {x}.w", f"named_struct('s', {at} + {x}.g, 'e', {at} + {x}.g + {x}.w, 'n', {x}.n)"
 
-    return F.when(text.rlike(pattern), _swept(sizes, F.lit(0), step, "struct<s:int,k:int,e:int,n:int>")).otherwise(F.array().cast(_SPAN))
+    return f"CASE WHEN {text} RLIKE {p} THEN {_swept(sizes, '0', step, kind)} ELSE CAST(array() AS array<{kind}>) END"
 
 
-def _of_kind(spans: Column, kind: str, least: int, most: int | None = None) -> Column:
-    k = F.lit(KINDS.index(kind))
-    keep = F.filter(spans, lambda x: (x["n"] >= least) & (x["n"] <= most) if most is not None else x["n"] >= least)
-    return F.transform(keep, lambda x: F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e")))
+def _of_kind(spans: str, kind: str, least: int, most: int | None = None) -> str:
+    upper = f" AND x.n <= {most}" if most is not None else ""
+    return f"transform(filter({spans}, x -> x.n >= {least}{upper}), x -> named_struct('s', x.s, 'k', {KINDS.index(kind)}, 'e', x.e))"
 
 
-def _linked(parts: Column) -> Column:
+def _linked(parts: str) -> str:
     """The weak ones of the parts (sorted) whose complement lies within the scope, by a sweep each way.
 
     A complement that begins no later must reach to the scope before the part;
     one that begins no earlier must begin in the scope behind it.
     """
-    groups = [[KINDS.index(k) for k in kinds] for kinds in (SECRETS, IDS, ENDPOINTS)]
-    fields = ("secret", "id", "end")
-    kind = "struct<s:int,k:int,e:int,near:boolean>"
+    listed_ = lambda kinds: ", ".join(str(KINDS.index(k)) for k in kinds)
+    groups = {"secret": listed_(SECRETS), "id": listed_(IDS), "stop": listed_(ENDPOINTS)}
 
     def seen(state, x, better, value):
-        return F.struct(*(F.when(x["k"].isin(g), better(state[f], value)).otherwise(state[f]).alias(f) for f, g in zip(fields, groups, strict=True)))
+        return "named_struct(" + ", ".join(f"'{f}', CASE WHEN {x}.k IN ({g}) THEN {better}({state}.{f}, {value}) ELSE {state}.{f} END" for f, g in groups.items()) + ")"
 
     def near(state, x, fits):
-        wants_key = F.coalesce(fits(state["id"]), F.lit(False)) | F.coalesce(fits(state["end"]), F.lit(False))
-        return F.when(x["k"].isin(groups[0]), wants_key).otherwise(F.coalesce(fits(state["secret"]), F.lit(False)))
-
-    def marked(x, flag):
-        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), flag.alias("near"))
+        has = lambda f: f"coalesce({state}.{f} {fits}, false)"
+        return f"CASE WHEN {x}.k IN ({groups['secret']}) THEN {has('id')} OR {has('stop')} ELSE {has('secret')} END"
 
     def ahead(state, x):
-        return seen(state, x, F.greatest, x["e"]), marked(x, near(state, x, lambda reach: reach >= x["s"] - SCOPE))
+        return seen(state, x, "greatest", f"{x}.e"), f"named_struct('s', {x}.s, 'k', {x}.k, 'e', {x}.e, 'near', {near(state, x, f'>= {x}.s - {SCOPE}')})"
 
     def back(state, x):
-        return seen(state, x, F.least, x["s"]), marked(x, x["near"] | near(state, x, lambda start: start <= x["e"] + SCOPE))
+        return seen(state, x, "least", f"{x}.s"), f"named_struct('s', {x}.s, 'k', {x}.k, 'e', {x}.e, 'near', {x}.near OR {near(state, x, f'<= {x}.e + {SCOPE}')})"
 
-    none = F.struct(*(F.lit(None).cast("int").alias(f) for f in fields))
-    both = _swept(F.reverse(_swept(parts, none, ahead, kind)), none, back, kind)
-    weak = F.filter(both, lambda x: x["near"] & (x["k"] >= len(STRONG)))
-    return F.transform(weak, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    none = "named_struct('secret', CAST(NULL AS INT), 'id', CAST(NULL AS INT), 'stop', CAST(NULL AS INT))"
+    kind = "struct<s:int,k:int,e:int,near:boolean>"
+    both = _swept(f"reverse({_swept(parts, none, ahead, kind)})", none, back, kind)
+    return f"transform(filter({both}, x -> x.near AND x.k >= {len(STRONG)}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -126,17 +116,17 @@ def scan(documents: DataFrame) -> DataFrame:
     have equal spans; rows and other columns stay as they are; those that begin
     with secret_ are the operator's own.  No row gives no row.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = {"assigns": (ASSIGN, 2), "accesses": (ACCESS, 0), "hexes": (HEX, 0), "names": (NAMED_ID, 2), "runs": (KEY_RUN, 0), "users": (USERINFO, 0), "ends": (ENDPOINT, 0)}
-    first = documents.withColumns({f"secret_{name}": _found(text, *pattern) for name, pattern in own.items()})
-    base = F.array_sort(F.concat(_of_kind(F.col("secret_assigns"), "assign", 12), _of_kind(F.col("secret_accesses"), "access", 18), _of_kind(F.col("secret_hexes"), "hex", 16)))
-    weak = F.concat(
-        _of_kind(F.col("secret_names"), "named_id", 3), _of_kind(F.col("secret_accesses"), "short_id", 12, 17), _of_kind(F.col("secret_assigns"), "short_secret", 6, 11),
-        _of_kind(F.col("secret_runs"), "key_run", 40), _of_kind(F.col("secret_users"), "userinfo", 1), _of_kind(F.col("secret_ends"), "endpoint", 1),
-    )
-    second = first.withColumns({"secret_base": base, "secret_parts": F.array_sort(F.concat(base, weak))})
-    linked = F.when(F.size("secret_parts") > F.size("secret_base"), _linked(F.col("secret_parts"))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
-    out = second.withColumn("secret_all", F.array_sort(F.concat("secret_base", linked)))
+    text = "coalesce(CAST(text AS STRING), '')"
+    first = documents.withColumns({f"secret_{name}": F.expr(_found(text, *pattern)) for name, pattern in own.items()})
+    base = ", ".join([_of_kind("secret_assigns", "assign", 12), _of_kind("secret_accesses", "access", 18), _of_kind("secret_hexes", "hex", 16)])
+    weak = ", ".join([
+        _of_kind("secret_names", "named_id", 3), _of_kind("secret_accesses", "short_id", 12, 17), _of_kind("secret_assigns", "short_secret", 6, 11),
+        _of_kind("secret_runs", "key_run", 40), _of_kind("secret_users", "userinfo", 1), _of_kind("secret_ends", "endpoint", 1),
+    ])
+    second = first.withColumns({"secret_base": F.expr(f"array_sort(concat({base}))"), "secret_parts": F.expr(f"array_sort(concat({base}, {weak}))")})
+    linked = f"CASE WHEN size(secret_parts) > size(secret_base) THEN {_linked('secret_parts')} ELSE CAST(array() AS array<{_PART}>) END"
+    out = second.withColumn("secret_all", F.expr(f"array_sort(concat(secret_base, {linked}))"))
     return out.drop(*(f"secret_{name}" for name in own), "secret_parts")
 
 
@@ -146,25 +136,23 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans, endpoints left out, replaced by `mark`."""
-    kept = F.filter(spans, lambda x: x["k"] != KINDS.index("endpoint"))
-
-    def between(pieces, a, e):
-        first, last = F.floor(a / _PIECE).cast("int"), F.floor(e / _PIECE).cast("int")
-        inside = F.substring(F.get(pieces, first), a % _PIECE + 1, e - a)
-        head, tail = F.substring(F.get(pieces, first), a % _PIECE + 1, F.lit(_PIECE)), F.coalesce(F.substring(F.get(pieces, last), F.lit(1), e % _PIECE), F.lit(""))
-        across = F.concat(head, F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)
-        return F.when(e <= a, F.lit("")).when(first == last, inside).otherwise(across)
+def redacted(text: str = "text", spans: str = "secret_all", mark: str = "[SECRET]") -> Column:
+    """The text (a column's name) with each run of overlapping spans (another's), endpoints left out, replaced by `mark`."""
+    kept = f"filter({spans}, x -> x.k <> {KINDS.index('endpoint')})"
 
-    def whole(pieces):
-        def step(at, x):
-            return F.greatest(at, x["e"]), F.when(x["s"] >= at, F.concat(between(pieces, at, x["s"]), F.lit(mark))).otherwise(F.lit(""))
+    def between(start, end):
+        first, last, skip = f"CAST(floor({start} / {_PIECE}) AS INT)", f"CAST(floor({end} / {_PIECE}) AS INT)", f"{start} % {_PIECE} + 1"
+        inside = f"substring(get(pieces, {first}), {skip}, {end} - {start})"
+        rest = f"array_join(slice(pieces, {first} + 2, greatest({last} - {first} - 1, 0)), ''), coalesce(substring(get(pieces, {last}), 1, {end} % {_PIECE}), '')"
+        return f"CASE WHEN {end} <= {start} THEN '' WHEN {first} = {last} THEN {inside} ELSE concat(substring(get(pieces, {first}), {skip}, {_PIECE}), {rest}) END"
 
-        out = F.array_join(_swept(kept, F.lit(0), step, "string"), "")
-        return F.concat(out, between(pieces, F.array_max(F.transform(kept, lambda x: x["e"])), F.char_length(text)))
+    def step(at, x):
+        return f"greatest({at}, {x}.e)", f"CASE WHEN {x}.s >= {at} THEN named_struct('a', {at}, 'e', {x}.s) END"
 
-    return F.when(F.size(kept) > 0, _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), whole)).otherwise(text)
+    # the gaps before the runs that are replaced, then the one behind the last
+    gaps = f"concat(filter({_swept(kept, '0', step, 'struct<a:int,e:int>')}, g -> g IS NOT NULL), array(named_struct('a', array_max(transform({kept}, x -> x.e)), 'e', char_length({text}))))"
+    whole = f"array_join(transform({gaps}, g -> {between('g.a', 'g.e')}), '{mark}')"
+    return F.expr(f"CASE WHEN size({kept}) > 0 THEN get(transform(array(regexp_extract_all({text}, '(?s).{{1,{_PIECE}}}', 0)), pieces -> {whole}), 0) ELSE {text} END")
 
 
 def secret_report(documents: DataFrame) -> DataFrame:
