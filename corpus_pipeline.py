@@ -49,7 +49,7 @@ def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark; n_chars follows the text."""
     found = secrets.scan(docs.select(*COLUMNS))
-    text = secrets.redacted(F.col("text"), F.col("secret_all"))
+    text = secrets.redacted("text", "secret_all")
     changed = found.withColumn("text", text).withColumn("n_chars", F.when(F.size("secret_all") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*COLUMNS)
 
