@@ -7,20 +7,24 @@ Documents are then drawn with probabilities in proportion to their weights, at
 most 1, scaled so that the expected tokens are the wanted fraction of all.
 
 Only DataFrame functions are used.  Raking works on the cell table; documents
-are read twice and meet it by broadcast only if it is small.
+are read twice and meet it by broadcast only if it is small.  Stated targets that
+cannot be met are refused.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .runtime import Written
 
 ROUNDS, SCALINGS = 10, 6
-#: Cells up to which the cell table is sent to all tasks; a larger one is joined by key.
+#: Raking stops once every total is as near as this to its target.
+TOLERANCE = 1e-10
+#: Rows up to which the cell table, or a dimension's totals, are sent to all tasks; larger ones are joined by key.
 BROADCAST_CELLS = 20_000
 DIMENSIONS = ("source", "lang", "topic")
 #: A dimension's targets are its shares to this power, scaled to 1, for values without a stated target.
@@ -43,11 +47,11 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def described(documents: DataFrame) -> DataFrame:
+def described(documents: DataFrame, topics: Sequence[tuple[str, str]] = TOPICS) -> DataFrame:
     """`documents` with mix_tokens, mix_source, mix_lang and mix_topic; null sources and languages are ''."""
     first = documents.withColumn("mix_tokens", token_count(F.col("text")))
     topic = F.lit(None).cast("string")
-    for name, condition in reversed(TOPICS):
+    for name, condition in reversed(topics):
         topic = F.when(_condition(condition), F.lit(name)).otherwise(F.lit(OTHER_TOPIC) if topic is None else topic)
     topic = F.coalesce(topic, F.lit(OTHER_TOPIC))
     return first.withColumns({
@@ -58,34 +62,68 @@ def described(documents: DataFrame) -> DataFrame:
 
 
 def _condition(text: str) -> Column:
-    return F.expr(text.replace("text", "coalesce(text, '')").replace("tokens", "mix_tokens"))
+    return F.expr(re.sub(r"\btokens\b", "mix_tokens", re.sub(r"\btext\b", "coalesce(text, '')", text)))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tempers: Mapping[str, float], rounds: int) -> DataFrame:
-    """`cells` (mix_source, mix_lang, mix_topic, base) with raked, which sums up to 1.
+def checked(name: str, stated: Mapping[str, float], shares: DataFrame) -> float:
+    """What the stated targets of dimension `name` leave for its other values; ValueError if they can't be met.
+
+    Targets are shares of all: none below 0 and at most 1 in sum, exactly 1
+    (within 1e-9) if no value is left for the rest.  A value without tokens
+    can't get a share, so stating one for it is an error.
+    """
+    rest = 1.0 - sum(stated.values())
+    if any(not 0 <= x <= 1 for x in stated.values()) or rest < -1e-9:
+        raise ValueError(f"the targets of {name} are no shares of 1: {dict(stated)}")
+    there = {r[0] for r in shares.where(F.col(f"mix_{name}").isin(list(stated)) & (F.col("share") > 0)).select(f"mix_{name}").collect()} if stated else set()
+    if absent := sorted(v for v, x in stated.items() if x > 0 and v not in there):
+        raise ValueError(f"no document with tokens has these values of {name}: {absent}")
+    if stated and rest > 1e-9 and shares.where((F.col("share") > 0) & ~F.col(f"mix_{name}").isin(list(stated))).isEmpty():
+        raise ValueError(f"the targets of {name} leave {rest} for other values, and there are none")
+    return max(0.0, rest)
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tempers: Mapping[str, float], rounds: int) -> tuple[DataFrame, float]:
+    """(`cells` (mix_source, mix_lang, mix_topic, base) with raked, which sums up to 1, and ratio; the residual).
 
     Stated targets are shares of all; a dimension's other values divide what is
-    left of 1 by their tempered shares.  Cells without tokens get 0.
+    left of 1 by their tempered shares.  Cells without tokens get 0.  A round
+    adds up each dimension's values in turn and joins the few totals back, so no
+    value's cells ever meet in one task.  It stops after `rounds`, or as soon as
+    no total was further than TOLERANCE from its target; the residual is the
+    largest distance of the last round (0 without tokens).
     """
-    total = cells.agg(F.sum("base")).first()[0] or 0
-    out = cells.withColumn("raked", F.col("base") / F.lit(float(max(total, 1))))
-    for name in DIMENSIONS:
-        at = f"mix_{name}"
-        stated = dict(targets.get(name, {}))
-        share = cells.groupBy(at).agg((F.sum("base") / F.lit(float(max(total, 1)))).alias("share"))
+    if unknown := set(targets) - set(DIMENSIONS):
+        raise ValueError(f"there are no dimensions {sorted(unknown)} to mix by")
+    total = float(cells.agg(F.sum("base")).first()[0] or 0)
+    out, meet = cells.withColumn("raked", F.col("base") / F.lit(total or 1.0)), {}
+    for name in DIMENSIONS if total else ():
+        at, stated = f"mix_{name}", dict(targets.get(name, {}))
+        shares = cells.groupBy(at).agg((F.sum("base") / F.lit(total)).alias("share"))
+        rest = checked(name, stated, shares)
         free = F.pow("share", F.lit(float(tempers.get(name, 1.0))))
-        rest = max(0.0, 1.0 - sum(stated.values()))
-        norm = share.where(~F.col(at).isin(list(stated)) if stated else F.lit(True)).agg(F.sum(free)).first()[0] or 1.0
-        own = F.sum("base").over(Window.partitionBy(at)) / F.lit(float(max(total, 1)))
-        target = F.pow(own, F.lit(float(tempers.get(name, 1.0)))) * F.lit(rest / norm)
+        others = ~F.col(at).isin(list(stated)) if stated else F.lit(True)
+        norm, values = shares.agg(F.coalesce(F.sum(F.when(others, free)), F.lit(1.0)), F.count("*")).first()
+        meet[name] = F.broadcast if values <= BROADCAST_CELLS else (lambda few: few)
+        target = free * F.lit(rest / norm)
         for value, wanted in stated.items():
             target = F.when(F.col(at) == F.lit(value), F.lit(float(wanted))).otherwise(target)
-        out = out.withColumn(f"want_{name}", target)
-    for _ in range(rounds):
+        out = out.join(meet[name](shares.select(at, target.alias(f"want_{name}"))), at)
+    residual = 0.0
+    for _ in range(rounds if total else 0):
+        gaps = []
         for name in DIMENSIONS:
-            now = F.sum("raked").over(Window.partitionBy(f"mix_{name}"))
-            out = out.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"want_{name}") / now).otherwise(F.lit(0.0)))
-    return out.withColumn("ratio", F.when(F.col("base") > 0, F.col("raked") / (F.col("base") / F.lit(float(max(total, 1))))).otherwise(F.lit(0.0)))
+            now = out.groupBy(f"mix_{name}").agg(F.sum("raked").alias("now"))
+            met = F.when(F.col("now") > 0, F.col("raked") * F.col(f"want_{name}") / F.col("now")).otherwise(F.lit(0.0))
+            out = out.join(meet[name](now), f"mix_{name}").withColumns({"raked": met, f"gap_{name}": F.abs(F.col("now") - F.col(f"want_{name}"))}).drop("now")
+            gaps.append(F.max(f"gap_{name}"))
+        seen = Observation()
+        out = Written(out.observe(seen, F.greatest(*gaps).alias("residual"))).df
+        residual = float(seen.get["residual"])
+        if residual <= TOLERANCE:
+            break
+    ratio = F.when(F.col("base") > 0, F.col("raked") / (F.col("base") / F.lit(total or 1.0))).otherwise(F.lit(0.0))
+    return out.select(*cells.columns, "raked", ratio.alias("ratio")), residual
 
 
 def draw(doc_id: Column, seed: str) -> Column:
@@ -101,21 +139,29 @@ def mix(
     fraction: float = FRACTION,
     rounds: int = ROUNDS,
     seed: str = "mix",
+    topics: Sequence[tuple[str, str]] = TOPICS,
 ) -> DataFrame:
     """`documents` (doc_id, text, source, lang and any others) with mix_tokens, the three dimensions, mix_weight, mix_probability and mix_kept.
 
-    A null text has no tokens; null and empty sources and languages are one
+    `targets` states shares for values of source, lang and topic; ones that
+    can't be met raise ValueError (see `checked`).  A topic is the name of the
+    first condition in `topics` (SQL over the document's columns and `tokens`)
+    that holds, else OTHER_TOPIC; the standard ones tell forms of text apart, a
+    corpus with topics of its own states e.g. ("law", "topic = 'law'").
+
+    A null text has no tokens; a very long one is counted whole; null and empty sources and languages are one
     value each.  A document without tokens has weight 0 and is kept only if all
     others are (fraction 1 or more).  Rows that repeat an id share its draw; a
     null id draws as the empty text does.  An empty table stays empty.  Columns
     that begin with mix_ are the operator's own and replace those of that name.
     """
-    rows = described(documents)
+    rows = described(documents, topics)
     cells = Written(rows.groupBy(*(f"mix_{d}" for d in DIMENSIONS)).agg(F.sum("mix_tokens").alias("base")))
-    raked = Written(rake(cells.df, targets or {}, tempers, rounds).drop(*(f"want_{d}" for d in DIMENSIONS)))
-    scale = scaling(raked.df, fraction)
-    few = raked.df.count() <= BROADCAST_CELLS
-    own = raked.df.select(*(F.col(f"mix_{d}").alias(f"mix_cell_{d}") for d in DIMENSIONS), F.col("ratio").alias("mix_weight"))
+    raked, residual = rake(cells.df, targets or {}, tempers, rounds)
+    raked = Written(raked.withColumn("residual", F.lit(residual))).df
+    scale = scaling(raked, fraction)
+    few = raked.count() <= BROADCAST_CELLS
+    own = raked.select(*(F.col(f"mix_{d}").alias(f"mix_cell_{d}") for d in DIMENSIONS), F.col("ratio").alias("mix_weight"))
     meet = [F.col(f"mix_{d}") == F.col(f"mix_cell_{d}") for d in DIMENSIONS]
     names = [c for c in rows.columns if c not in ("mix_weight", "mix_probability", "mix_kept")]
     out = rows.select(*names).join(F.broadcast(own) if few else own, meet, "left").drop(*(f"mix_cell_{d}" for d in DIMENSIONS))

@@ -80,3 +80,24 @@ def test_empty_and_wordless_tables(spark):
     out = mixing.mix(spark.createDataFrame([(1, None, None, None, 1, "x"), (2, " ", "a", "b", 1, "x")], SCHEMA)).collect()
     assert [r.mix_kept for r in out] == [False, False]
     assert [r.mix_kept for r in mixing.mix(spark.createDataFrame(rows(), SCHEMA), fraction=1.0).collect()] == [True] * len(rows())
+
+
+@pytest.mark.parametrize("targets", [{"source": {"web": 0.9, "books": 0.5}}, {"lang": {"xx": 0.1}}, {"lang": {"fr": -0.1}}, {"colour": {"red": 1.0}}, {"source": {"web": 0.2, "books": 0.2, "": 0.2}}])
+def test_targets_that_cannot_be_met_are_refused(spark, targets):
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame(rows(), SCHEMA), targets)
+
+
+def test_raking_stops_when_it_has_converged(spark):
+    cells = mixing.described(spark.createDataFrame(rows(), SCHEMA)).groupBy(*(f"mix_{d}" for d in mixing.DIMENSIONS)).agg(F.sum("mix_tokens").alias("base"))
+    raked, residual = mixing.rake(cells, {"lang": {"fr": 0.6, "en": 0.4}}, mixing.TEMPERS, 200)
+    assert residual <= mixing.TOLERANCE
+    assert raked.groupBy("mix_lang").agg(F.sum("raked").alias("s")).where("mix_lang = 'fr'").first().s == pytest.approx(0.6, abs=1e-9)
+    _, early = mixing.rake(cells, {"lang": {"fr": 0.6, "en": 0.4}}, mixing.TEMPERS, 1)
+    assert early > residual
+
+
+def test_topics_of_the_corpus_itself(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "en", "law"), (2, "a b c", "s", "en", "art"), (3, "x", "s", "en", None)], "doc_id long, text string, source string, lang string, subject string")
+    out = mixing.mix(df, {"topic": {"law": 0.5}}, topics=[("law", "subject = 'law'"), ("art", "subject = 'art'")])
+    assert {r.doc_id: r.mix_topic for r in out.collect()} == {1: "law", 2: "art", 3: mixing.OTHER_TOPIC}
