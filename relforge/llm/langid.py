@@ -100,9 +100,10 @@ def _centroids(x: np.ndarray, k: int) -> np.ndarray:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of `labelled` (doc_id, text, lang); None if it has no row with text and lang.
 
-    About `sample` texts are used, spread over at most 256 languages (the most
-    frequent), by a hash of id and text.  Only their trigram counts come to the
-    driver, 2**BITS small integers each.
+    About `sample` texts are used, or LEAST_PER_LANGUAGE of each language if
+    these are more, by a hash of id and text; every language is learned.  Only
+    their trigram counts come to the driver, 2**BITS small integers each, so
+    that the driver holds some 130 kB for each language.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -153,15 +154,16 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """`documents` with lang_pred, score (cosine, 0 to 1) and rejected; needs a string column text.
 
     A null text, one without a letter, and any text if nothing was learned get
-    'und', score 0 and rejected.  The text alone decides; rows and other columns
-    stay, even columns with those names (the new ones replace them).
+    'und', score 0 and rejected; a very long text is counted whole.  The text
+    alone decides; rows, repeated ones too, and other columns stay; columns with
+    those names, in whatever case, are replaced.  No row gives no row.
     """
     spark = documents.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    names = [c for c in documents.columns if c not in ("lang_pred", "score", "rejected")]
-    kept = documents.select(*names)
-    at = names.index("text")
+    names = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    kept = documents.select(*(F.col(f"`{c.replace('`', '``')}`") for c in names))
+    at = [c.lower() for c in names].index("text")
 
     def run(batches):
         m = held.value

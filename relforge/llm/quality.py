@@ -150,7 +150,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str, training: Column,
             for at, value, y in pairs:
                 learner.learn(at, value, y)
     everything = learner.weights(slice(None))
-    prior = np.log((n1 + 1) / (n0 + 1)) - np.log((s1 + 1) / (s0 + 1))  # the sample has its own shares
+    prior = np.log((n1 + 1) / (n0 + 1))
+    if s1 and s0:
+        prior -= np.log((s1 + 1) / (s0 + 1))  # what was learned has the sample's shares in it
     return Model(everything[:-1].astype(np.float32), float(everything[-1] + prior))
 
 

@@ -6,24 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STEPS = 1 << 30
-#: No more classes than this are learned, the most frequent first.
-MOST_CLASSES = 256
 
 
 def class_counts(rows: DataFrame, label: str) -> dict[object, int]:
-    """Rows by non-null label, of the MOST_CLASSES most frequent labels."""
-    top = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), label).limit(MOST_CLASSES)
-    return {r[0]: r[1] for r in top.collect()}
+    """Rows by non-null label; as many numbers come to the driver as there are labels."""
+    sizes = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("rows")).orderBy(label)
+    return {r[0]: r[1] for r in sizes.collect()}
 
 
 def chosen(rows: DataFrame, label: str, key: Column, counts: dict[object, int], per_class: int) -> DataFrame:
     """About per_class rows of each class of `counts`, by a hash of `key`; rows of equal key are taken or left together."""
     draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(_STEPS))
-    share = None
-    for value, n in counts.items():
-        keep = (F.col(label) == F.lit(value)) & (draw < int(_STEPS * min(1.0, per_class / max(n, 1))))
-        share = keep if share is None else share | keep
-    return rows.where(share if share is not None else F.lit(False))
+    if not counts:
+        return rows.where(F.lit(False))
+    bounds = [(value, int(_STEPS * min(1.0, per_class / max(n, 1)))) for value, n in counts.items()]
+    table = rows.sparkSession.createDataFrame(bounds, f"sample_class {rows.schema[label].dataType.simpleString()}, sample_bound long")
+    drawn = rows.join(F.broadcast(table), F.col(label) == F.col("sample_class"))  # as small as `counts`
+    return drawn.where(draw < F.col("sample_bound")).select(*rows.columns)
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int) -> tuple[DataFrame, dict[object, int]]:

@@ -181,3 +181,44 @@ def test_substitutes_at_any_side_of_a_letter():
         assert len(toxicity.matches(text, automaton)) == 1, text
     for text in ("trash can!", "5 10 $", "scu 1", "3rd"):
         assert toxicity.matches(text, automaton) == [], text
+
+
+def test_quality_with_labels_of_one_class(spark):
+    d = spark.createDataFrame([(k, f"a b c{k}") for k in range(9)], "doc_id long, text string")
+    for value, least, most in ((0, 0.0, 0.2), (1, 0.8, 1.0)):
+        labels = spark.createDataFrame([(k, value) for k in range(9)], "doc_id long, quality int")
+        rows = quality.classify(d, quality.train(d, labels, "quality", F.lit(True))).collect()
+        assert all(least <= r.score <= most and r.predicted == value for r in rows)
+
+
+def test_language_names_in_any_case_and_many_languages(spark, corpus):
+    model = langid.train(spark.createDataFrame(corpus, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(1, "ka to mi", "x", 0.1)], "doc_id long, Text string, LANG_PRED string, Score double")
+    got = langid.identify(df, model)
+    assert got.columns == ["doc_id", "Text", "lang_pred", "score", "rejected"] and got.select("lang_pred").first()[0] == "aa"
+    rng = random.Random(1)
+    alphabets = {f"l{k:03}": [f"{chr(0x4E00 + 3 * k + j)}{chr(0x5200 + 3 * k + j)}" for j in range(3)] for k in range(300)}
+    rows = [(1000 * k + j, " ".join(rng.choice(alphabets[name]) for _ in range(12)), name) for k, name in enumerate(alphabets) for j in range(3)]
+    many = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(many.language)) == 300
+
+
+def test_toxicity_scores_are_those_of_plain_loops(spark):
+    docs, labels = toxic_corpus()
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.learn(d, lab, "toxic", F.lit(True))
+    for r in toxicity.score_toxicity(d, lexicon).collect()[::25]:
+        text = dict(docs)[r.doc_id]
+        found = brute_matches(text, lexicon)
+        raw = sum(w for *_, w in found) / (max(toxicity.LEAST_WORDS, len(text.split(" "))) / toxicity.LEAST_WORDS) ** toxicity.LENGTH_POWER
+        assert r.n_matches == len(found) and r.score == pytest.approx(1 / (1 + np.exp(-(lexicon.slope * raw + lexicon.bias))))
+
+
+def test_long_texts_dense_in_matches_and_exceptions():
+    import time
+
+    lexicon = toxicity.Lexicon(dict.fromkeys(toxicity.SEEDS, 1.0))
+    began = time.perf_counter()
+    assert toxicity.matches("trash can " * 100_000, lexicon.automaton()) == []
+    assert len(toxicity.matches("trash can trash " * 60_000, lexicon.automaton())) == 60_000
+    assert time.perf_counter() - began < 30
