@@ -31,8 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     Self-edges and repeated edges are harmless; edges with a null end are left
     out; no edges give no rows.  Each round is written to the shared folder, so
     lineage stays short; the number of rounds grows with the logarithm of the
-    longest path.  Groups are only ever reduced by min and split by joins, so a
-    node with very many edges is never gathered in one task.
+    longest path.  A node's edges are reduced by min before they are shuffled;
+    where they meet that minimum again, the join deals a node with very many
+    edges to one task unless adaptive execution splits it, as it does by
+    default; they are rows of two longs, and streamed.
     """
     start = edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")

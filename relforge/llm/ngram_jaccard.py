@@ -5,10 +5,9 @@ link when den * |A and B| >= num * |A or B|.
 
 1. Equal sets are one class from the start, so copies are never paired.
 2. A fixed total order of n-grams puts those with a large count (by a counter
-   table of fixed size) last.  Two linked sets share an n-gram within the first
+   table whose size follows the text's, up to a bound) last.  Two linked sets share an n-gram within the first
    n - ceil(num n / den) + 1 of each ("prefix").
-3. Prefixes are inverted.  A list of up to a bounded number of classes gives its
-   pairs, with how many prefix n-grams they share; pairs whose sizes or shared
+3. Prefixes are inverted.  A list of up to LIST_MOST classes gives its pairs, with how many prefix n-grams they share; pairs whose sizes or shared
    counts rule out the bound go, and so do those whose parity bitmaps differ in
    more places than two linked sets can differ in n-grams.  A longer list gives
    only the edges that tie it together.  Both keep every link inside one
@@ -34,12 +33,14 @@ from .kernels import chunks, row_sets, shingle_hashes, text_buffers, word_hashes
 from .runtime import Written, small_batches
 from .sketch import count_hashes, heavy_bits
 
-#: Counters of the n-gram count table, as a power of two.
-COUNTER_BITS = 22
-#: Lists of at most so many classes (or thrice the mean counter) are paired in full.
+#: Counters of the n-gram count table, as powers of two, at least and at most; one for every BYTES_A_COUNTER of text in between.
+COUNTER_BITS, MOST_COUNTER_BITS, BYTES_A_COUNTER = 22, 25, 96
+#: N-grams counted more often than this (or than thrice the mean counter, if that is more) come last in the order.
 LIST_LEAST = 48
-#: Classes in a block of the product.
-BLOCK = 256
+#: Lists of at most so many classes are paired in full, whatever the input's size; longer ones tie their classes together.
+LIST_MOST = 128
+#: Classes, and n-grams in all, in a block of the product (one class at least).
+BLOCK, BLOCK_GRAMS = 128, 1 << 21
 #: Bits of the filter that keeps sets of unclustered classes from being shuffled.
 FILTER_BITS = 23
 #: Longs of a set's bitmap: bit k is the parity of the n-grams that fall on k.
@@ -71,14 +72,19 @@ def _parities(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _prefixes(spark, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, int]:
+def counter_bits(size: int) -> int:
+    """The counters' power of two for so many bytes of text."""
+    return min(max(int(math.log2(max(size / BYTES_A_COUNTER, 1))), COUNTER_BITS), MOST_COUNTER_BITS)
+
+
+def _prefixes(spark, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def of_batch(batch):
         for _, _, values, _ in _sets(batch, width):
             yield values
 
-    counted = count_hashes(docs.select("text"), of_batch, COUNTER_BITS)
-    marks, longest = heavy_bits(counted, COUNTER_BITS, LIST_LEAST, 3.0)
-    heavy_now, mask = spark.sparkContext.broadcast(np.packbits(marks)), np.uint64((1 << COUNTER_BITS) - 1)
+    bits = counter_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    counted = count_hashes(docs.select("text"), of_batch, bits)
+    heavy_now, mask = spark.sparkContext.broadcast(np.packbits(heavy_bits(counted, bits, LIST_LEAST, 3.0))), np.uint64((1 << bits) - 1)
 
     def prefix(batches):
         heavy_at = np.unpackbits(heavy_now.value).astype(bool)
@@ -105,7 +111,7 @@ def _prefixes(spark, docs: DataFrame, width: int, num: int, den: int) -> tuple[D
                 )
 
     kind = "doc_id long, n long, hi long, lo long, late int, prefix array<long>, marks array<long>"
-    return docs.mapInArrow(prefix, kind), longest
+    return docs.mapInArrow(prefix, kind)
 
 
 def _pairs(longest: int, num: int, den: int):
@@ -263,13 +269,14 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
     their doc_id as component_id (null for a null doc_id).  Rows that repeat a
     text, with any doc_id, null included, link to each other; every input row
     gives one result row.  No row gives no row.  Other columns are not read.
+    A very long text is one set; a block of the product holds BLOCK_GRAMS
+    n-grams, or one set if that has more.
     N-grams and sets are told apart by hashes of 64 and 128 bits.
     """
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with_prefix, longest = _prefixes(spark, docs, width, num, den)
-    members = Written(with_prefix)
+    members = Written(_prefixes(spark, docs, width, num, den))
     has = members.df.where("n > 0")
     classes = Written(
         has.groupBy("hi", "lo")
@@ -282,7 +289,7 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
         .sortWithinPartitions("token", "node")
     )
     kind = "a long, b long, na long, nb long, la long, lb long, shared long, tie boolean"
-    found = lists.mapInArrow(_pairs(longest, num, den), kind).groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "la", "lb", "tie")), F.sum("shared").alias("shared"))
+    found = lists.mapInArrow(_pairs(LIST_MOST, num, den), kind).groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "la", "lb", "tie")), F.sum("shared").alias("shared"))
     rest = lambda n: F.ceil(F.col(n) * num / den) - 1  # noqa: E731  n-grams behind the prefix
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
     candidates = found.where(F.col("tie") | (F.col("shared") + F.least("la", "lb") + F.greatest(rest("na"), rest("nb")) >= need))
@@ -298,8 +305,9 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
         .join(cluster.df, "node")
         .withColumn("size", F.floor(F.log("n") / step).cast("int"))
     )
-    per = own.groupBy("root", "size").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    dealt = per.groupBy("root").agg(F.sum("rows").alias("all"), F.map_from_entries(F.collect_list(F.struct("size", "parts"))).alias("parts"))
+    per = own.groupBy("root", "size").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    per = per.withColumn("parts", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int"))
+    dealt = per.groupBy("root").agg(F.sum("rows").alias("all"), F.sum("grams").alias("all_grams"), F.map_from_entries(F.collect_list(F.struct("size", "parts"))).alias("parts"))
     at = lambda k: F.coalesce(F.col("parts")[F.col("size") + k], F.lit(0))
     block = lambda s, p, t, q, side: F.struct(s.alias("s"), p.cast("int").alias("p"), t.alias("t"), q.cast("int").alias("q"), side.alias("side"))
     size, mine = F.col("size"), F.col("mine")
@@ -313,13 +321,13 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
     placed = Written(
         own.join(dealt, "root")
         .withColumn("mine", F.pmod(F.xxhash64("node"), at(0)).cast("int"))
-        .select("node", "root", "hi", "lo", "least", "copies", F.when(F.col("all") <= BLOCK, one).otherwise(several).alias("blocks"))
+        .select("node", "root", "hi", "lo", "least", "copies", F.when((F.col("all") <= BLOCK) & (F.col("all_grams") <= BLOCK_GRAMS), one).otherwise(several).alias("blocks"))
     )
 
     def low_of(batch):
         yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
-    marks, _ = heavy_bits(count_hashes(placed.df.select("lo"), low_of, FILTER_BITS), FILTER_BITS, 0, 0.0)
+    marks = heavy_bits(count_hashes(placed.df.select("lo"), low_of, FILTER_BITS), FILTER_BITS, 0, 0.0)
     wanted, mask = spark.sparkContext.broadcast(np.packbits(marks)), np.uint64((1 << FILTER_BITS) - 1)
 
     def whole(batches):
@@ -358,8 +366,7 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
     result = slim.join(of_node, "node", "left").select(
         "hi", "lo", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
-    out = members.df.select("doc_id", "n", "hi", "lo").join(result, ["hi", "lo"], "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    out = has.select("doc_id", "n", "hi", "lo").join(result, ["hi", "lo"], "left")
+    linked_rows = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").cast("long").alias("n_links"))
+    empty = members.df.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked_rows.unionAll(empty)

@@ -1,4 +1,4 @@
-"""A fixed-size table of counters over 64-bit hashes, summed over all partitions."""
+"""Tables of counters and bits over 64-bit hashes, of a size that is stated, made from all partitions."""
 
 from __future__ import annotations
 
@@ -55,8 +55,8 @@ def count_hashes(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
     return df.mapInArrow(count, kind).repartition("slot").mapInArrow(total, kind)
 
 
-def heavy_bits(counted: DataFrame, bits: int, least: int, times: float) -> tuple[np.ndarray, int]:
-    """(one bit a counter that marks those above max(least, times x their slot's mean), the highest of these bounds).
+def heavy_bits(counted: DataFrame, bits: int, least: int, times: float) -> np.ndarray:
+    """One bit a counter that marks those above max(least, times x their slot's mean).
 
     What comes to the driver is 2**bits / 8 bytes, whatever the input.
     """
@@ -68,15 +68,14 @@ def heavy_bits(counted: DataFrame, bits: int, least: int, times: float) -> tuple
                 own = np.frombuffer(blob.as_buffer(), dtype=np.uint32)
                 bound = max(least, int(times * own.mean()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), pa.array([bound], pa.int64()), pa.array([np.packbits(own > bound).tobytes()], pa.binary())],
-                    names=["slot", "bound", "marks"],
+                    [pa.array([s], pa.int32()), pa.array([np.packbits(own > bound).tobytes()], pa.binary())],
+                    names=["slot", "marks"],
                 )
 
-    out, highest = np.zeros((SLOTS, part // 8), dtype=np.uint8), least
-    for row in counted.mapInArrow(mark, "slot int, bound long, marks binary").collect():
+    out = np.zeros((SLOTS, part // 8), dtype=np.uint8)
+    for row in counted.mapInArrow(mark, "slot int, marks binary").collect():
         out[row.slot] = np.frombuffer(row.marks, dtype=np.uint8)
-        highest = max(highest, row.bound)
-    return np.unpackbits(out.ravel()).astype(bool), highest
+    return np.unpackbits(out.ravel()).astype(bool)
 
 
 def _place(values: np.ndarray, bits: int, shift: int) -> np.ndarray:

@@ -65,8 +65,9 @@ def test_against_all_pairs(spark, width, num):
 
 
 def test_long_lists_and_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(module, "LIST_LEAST", 4)
+    monkeypatch.setattr(module, "LIST_MOST", 4)
     monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "BLOCK_GRAMS", 700)
     rng = random.Random(5)
     base = words(rng, 120)
     rows = [(k, edited(rng, base[: rng.randrange(90, 121)], rng.randrange(0, 5))) for k in range(90)]
@@ -74,6 +75,18 @@ def test_long_lists_and_several_blocks(spark, monkeypatch):
     assert joined(spark, rows) == brute(rows)
 
 
+def test_lists_past_the_bound_and_one_huge_cluster_of_near_copies(spark):
+    rng = random.Random(12)
+    base = words(rng, 40)
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(module.LIST_MOST + 200)]  # all n-grams but one are in every text
+    rows += [(5000 + k, " ".join(words(rng, 30))) for k in range(5)]
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r for r in ngram_jaccard_join(df).collect()}
+    assert all(got[k].component_id == 0 and got[k].n_links == module.LIST_MOST + 199 for k in range(module.LIST_MOST + 200))
+    assert all(got[5000 + k].component_id == 5000 + k and got[5000 + k].n_links == 0 for k in range(5))
+    assert module.counter_bits(0) == module.COUNTER_BITS and module.counter_bits(10**15) == module.MOST_COUNTER_BITS
+
+
 def test_nulls_blanks_short_texts_ties_and_repeated_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "ONE  two"), (None, "one two"), (7, "one two three"), (7, "one two three"), (8, "x" * 100_000)]
     assert joined(spark, rows) == brute(rows)
