@@ -2,18 +2,24 @@
 
 A text is predicted bit by bit.  For each bit there are predictors over the
 contexts of 0 to ORDERS - 1 bytes before it; their logits are added up with
-weights that the bit's place in its byte gates, and the mix is refined by an
-adaptive table of what really came.  Everything is learned from the counts of
-all byte n-grams of all training texts: the predictors by adding up, weights
-by online updates over the n-grams (each leaving its own occurrence out), the
-refinement by adding up again.  A text's score depends on the text alone.
+weights that two gates choose: the bit's place in its byte, and the longest
+context seen before together with the place in the word.  The mix is refined by
+an adaptive table of what really came.  Everything is learned from the counts of
+all byte n-grams of all training texts: the predictors by adding up, weights by
+online updates over the n-grams (each leaving its own occurrence out), the
+refinement by adding up again.  The updates run over n-grams, not along texts,
+and the model is frozen when it scores, so a text's score depends on the text
+alone.
 
 No two contexts share a count, however many there are: the n-grams are dealt to
 tasks by the two bytes before the last, so that whole contexts of two bytes and
-more are in one task, which counts there by sorting; shorter ones have 65,536
-counts in all.  A byte's probability depends on the ORDERS - 1 bytes before it
-only, so it is computed once for every distinct n-gram of the documents.  The
-most frequent n-grams' go to every task; the others' are joined.
+more are in one task, where they come sorted and are counted block by block;
+shorter ones have 65,536 counts in all.  Weights are learned apart in SLICES
+fixed slices of the n-grams and averaged; sums over tasks are whole numbers, so
+nothing depends on how the input or the n-grams are split.  A byte's probability
+depends on the ORDERS - 1 bytes before it only, so it is computed once for every
+distinct n-gram of the documents.  The most frequent n-grams' go to every task;
+the others' are joined.
 
 Beside it stands a base score: the unigram probability of the text's words.
 """
@@ -30,8 +36,12 @@ from pyspark.sql import functions as F
 from .kernels import chunks, text_buffers, word_hashes
 from .runtime import Written, remainder, small_batches
 
-ORDERS = 6
-DELTA, RATE, BATCH, START = 0.4, 0.02, 4096, 0.3
+ORDERS = 7
+DELTA, RATE, BATCH = 0.2, 0.1, 512
+#: Parts of the n-grams, by their two-byte contexts, in which weights are learned apart (a power of two).
+SLICES = 64
+#: Gates: partial bytes, and longest contexts x places in the word.
+GATES, PLACES = 256, 8
 #: Cells of the refinement for each gate, over logits -8 to 8.
 CELLS = 33
 #: Words whose counts go to every task; the others' are joined.
@@ -40,11 +50,13 @@ HEAD = 1 << 16
 GRAM_HEAD = 1 << 20
 #: N-grams that a task counts at once, besides the rest of a two-byte context.
 BLOCK = 1 << 17
-#: Log probabilities are added up as whole numbers of this part, so that their order doesn't matter.
-UNIT = 1 << 24
+#: Log probabilities, weights, a slice's share and the refinement's sums are whole numbers of these parts, so that the order of adding doesn't matter.
+UNIT, SHARE, FINE = 1 << 24, 1 << 20, 1 << 10
 _END = np.uint64(0x656E64)
 _LEARNED = np.uint64(1 << 8 * ORDERS)
 _HEAD_BITS = 21
+#: Odd, so that multiplying by it puts the 65,536 two-byte contexts into another order.
+_MIX = 40503
 _GATHER = 1 << 21
 
 
@@ -63,6 +75,31 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return key[use], row[use]
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0, 9, 10, 11, 12, 13, 32]] = True
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    """How many bytes lie between the last byte and the white space before it, ORDERS - 1 at most."""
+    out = np.full(len(keys), ORDERS - 1)
+    for k in range(ORDERS - 1, 0, -1):
+        out[_SPACE[(keys >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)]] = k - 1
+    return out
+
+
+def _start() -> np.ndarray:
+    """Weights to begin with, for the gates of both kinds: predictors count alike, the longest context seen more, short ones less beside it."""
+    out = np.zeros((GATES + ORDERS * PLACES, ORDERS))
+    out[:GATES] = 0.3
+    for seen in range(1, ORDERS):
+        own = out[GATES + seen * PLACES : GATES + (seen + 1) * PLACES]
+        own[:, seen] += 0.3
+        own[:, 0] -= 0.3
+        own[:, 1] -= 0.2 * (seen > 1)
+        own[:, 2] -= 0.1 * (seen > 3)
+    return out
+
+
 def _bits(keys: np.ndarray, bit: int) -> np.ndarray:
     return (keys >> np.uint64(7 - bit) & np.uint64(1)).astype(np.float64)
 
@@ -71,7 +108,7 @@ class _Counts:
     """Counts of all contexts of some n-grams (distinct; whole two-byte contexts), with the counts of shorter ones."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, low: np.ndarray):
-        self.keys, self.n = keys, n
+        self.keys, self.n, self.places = keys, n, _places(keys)
         self.orders = []  # for each order (9 x entries: how often the byte began with so many of its bits, entry of each key)
         for order in range(ORDERS):
             own = keys & np.uint64((1 << 8 * (order + 1)) - 1)
@@ -89,50 +126,77 @@ class _Counts:
                 total[bits] = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(head))))
             self.orders.append((total, at))
 
-    def inputs(self, at: np.ndarray, bit: int, leave: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logits of the predictors as orders x keys, gate, bit that came) for one bit of the keys' lowest bytes, the highest bit first.
+    def inputs(self, at: np.ndarray, bit: int, leave: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(logits of the predictors as orders x keys, both gates, bit that came) for one bit of the keys' lowest bytes, the highest bit first.
 
         `leave`: each key's own occurrence is left out.
         """
         keys = self.keys[at]
         came = _bits(keys, bit)
-        out = np.empty((ORDERS, len(keys)))
+        out, seen = np.empty((ORDERS, len(keys))), np.zeros(len(keys), dtype=np.int64)
         for order, (total, entry) in enumerate(self.orders):
             k = entry[at]
-            same = total[bit + 1][k]
-            other = total[bit][k] - same
+            same, both = total[bit + 1][k], total[bit][k]
+            other = both - same
             if leave:
                 same = np.maximum(same - 1, 0)
+            seen[both > leave] = order
             out[order] = np.log((same + DELTA) / (other + DELTA))
         gate = np.uint64(1 << bit) | (keys & np.uint64(255)) >> np.uint64(8 - bit)
-        return np.clip(out * (2 * came - 1), -9, 9), gate.astype(np.int64), came
+        return np.clip(out * (2 * came - 1), -9, 9), gate.astype(np.int64), GATES + seen * PLACES + self.places[at], came
+
+
+def _mixed(x: np.ndarray, weights: np.ndarray, gate: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return np.einsum("ok,ko->k", x, weights[gate] + weights[second])
 
 
 def _blocks(batches, low: np.ndarray):
-    """The counts of a task's n-grams (key, n, m), in blocks of whole two-byte contexts, with their m."""
-    got = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
-    if not got:
-        return
-    keys, n, m = (np.concatenate(c) for c in zip(*got, strict=True))
-    keys, n = keys.view(np.uint64), n.astype(np.float64)
-    context = keys >> np.uint64(8) & np.uint64(0xFFFF)
-    order = np.lexsort((keys, context * np.uint64(40503) & np.uint64(0xFFFF)))  # contexts in a mixed order
-    keys, n, m, context = keys[order], n[order], m[order], context[order]
-    starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    a = 0
-    while a < len(keys):
-        k = np.searchsorted(starts, a + BLOCK)
-        e = int(starts[k]) if k < len(starts) else len(keys)
-        yield _Counts(keys[a:e], n[a:e], low), m[a:e]
-        a = e
+    """(slice, counts, m) of blocks of a task's n-grams (key, n, m), which come in the order of their mixed contexts and keys.
+
+    A block holds whole contexts of one slice, and ends with the first that ends
+    BLOCK n-grams or more from its begin; so blocks depend on the slice alone.
+    """
+    columns = [np.zeros(0, dtype=np.int64)] * 3
+    waiting, size, wanted = [], 0, BLOCK
+
+    def ready(columns, last):
+        keys = columns[0].view(np.uint64)
+        mixed = ((keys >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(_MIX) & np.uint64(0xFFFF)).astype(np.int64)
+        cuts = np.flatnonzero(mixed[1:] != mixed[:-1]) + 1
+        part, a = mixed * SLICES >> 16, 0
+        while a < len(keys):
+            k = np.searchsorted(cuts, a + BLOCK)
+            e = min(int(cuts[k]) if k < len(cuts) else len(keys), int(np.searchsorted(part, part[a], "right")))
+            if e == len(keys) and not last:
+                break
+            yield int(part[a]), _Counts(keys[a:e], columns[1][a:e].astype(np.float64), low), columns[2][a:e]
+            a = e
+        yield a
+
+    for batch in batches:
+        waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= wanted:
+            columns, waiting = [np.concatenate(c) for c in zip(columns, *waiting, strict=True)], []
+            for got in ready(columns, False):
+                if isinstance(got, int):
+                    columns = [c[got:] for c in columns]
+                else:
+                    yield got
+            size = len(columns[0])
+            wanted = max(BLOCK, 2 * size)
+    columns = [np.concatenate(c) for c in zip(columns, *waiting, strict=True)]
+    for got in ready(columns, True):
+        if not isinstance(got, int):
+            yield got
 
 
 @dataclass
 class Model:
     grams: Written  # key, n (in training texts), m (in all)
     low: np.ndarray  # counts of all two-byte strings
-    weights: np.ndarray  # 256 gates x orders
-    refined: np.ndarray  # 256 gates x CELLS, probabilities of a 1
+    weights: np.ndarray  # gates of both kinds x orders
+    refined: np.ndarray  # GATES x CELLS, probabilities of a 1
     counts: dict[str, int]
     _known: dict[int, float] = field(default_factory=dict)
 
@@ -142,13 +206,13 @@ class Model:
 
         def run(batches):
             low_counts, weights, refined = held.value
-            for counts, m in _blocks(batches, low_counts):
+            for _, counts, m in _blocks(batches, low_counts):
                 for k in range(0, len(m), 65536):
                     at = np.arange(k, min(k + 65536, len(m)))
                     total = np.zeros(len(at))
                     for bit in range(8):
-                        x, gate, came = counts.inputs(at, bit, False)
-                        mixed = np.einsum("ok,ko->k", x, weights[gate])
+                        x, gate, second, came = counts.inputs(at, bit, False)
+                        mixed = _mixed(x, weights, gate, second)
                         low, part = _cells(mixed)
                         fine = refined[gate, low] * (1 - part) + refined[gate, low + 1] * part
                         p = np.clip((_squash(mixed) + fine) / 2, 1e-6, 1 - 1e-6)
@@ -279,62 +343,86 @@ def _summed_keys(texts: DataFrame, kind_of_key) -> DataFrame:
     return texts.mapInArrow(_summed(kind_of_key), "key long, n long")
 
 
-def _dealt(grams: DataFrame) -> DataFrame:
-    """The n-grams in tasks that hold all those of a two-byte context."""
-    return grams.select("key", "n", "m").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))
+def _dealt(grams: DataFrame, whole_slices: bool = False) -> DataFrame:
+    """The n-grams in tasks that hold all those of a two-byte context, or of a slice, in the order of mixed contexts and keys."""
+    mixed = (F.shiftright("key", 8).bitwiseAND(0xFFFF) * _MIX).bitwiseAND(0xFFFF)
+    by = F.floor(F.col("mixed") * SLICES / 65536) if whole_slices else F.col("mixed")
+    return grams.select("key", "n", "m", mixed.alias("mixed")).repartition(by).sortWithinPartitions("mixed", "key").select("key", "n", "m")
+
+
+def _added(rows: DataFrame, names: str) -> list:
+    """Sums of whole numbers by cell, added up on the executors."""
+    return rows.groupBy("cell").agg(*(F.sum(c).alias(c) for c in names.split())).collect()
 
 
-def _mixer(grams: DataFrame, low) -> np.ndarray:
-    """Weights by online updates over each task's n-grams, averaged by their counts."""
+def _mixer(grams: DataFrame, low, mass: float) -> np.ndarray:
+    """Weights by online updates over each slice's n-grams, averaged by the slices' shares of all occurrences (`mass`)."""
 
     def learn(batches):
-        weights, mass = np.full((256, ORDERS), START), 0.0
-        for counts, _ in _blocks(batches, low.value):
+        total, shares, now, own, weights = np.zeros((GATES + ORDERS * PLACES, ORDERS), dtype=np.int64), 0, None, 0.0, None
+
+        def done():
+            share = int(own * SHARE / mass)
+            return np.rint(weights * UNIT).astype(np.int64) * share, share
+
+        for part, counts, _ in _blocks(batches, low.value):
+            if part != now:
+                if now is not None:
+                    more, share = done()
+                    total, shares = total + more, shares + share
+                now, own, weights = part, 0.0, _start()
             mixed_up = np.random.default_rng(len(counts.n)).permutation(np.flatnonzero(counts.n))
+            own += counts.n.sum()
             for k in range(0, len(mixed_up), BATCH):
                 at = mixed_up[k : k + BATCH]
                 n = counts.n[at]
-                mass += n.sum()
                 for bit in range(8):
-                    x, gate, came = counts.inputs(at, bit, True)
-                    error = (came - _squash(np.einsum("ok,ko->k", x, weights[gate]))) * n
-                    total = np.bincount(gate, weights=n, minlength=256)
+                    x, gate, second, came = counts.inputs(at, bit, True)
+                    error = (came - _squash(_mixed(x, weights, gate, second))) * n
+                    gates = np.concatenate([gate, second])
+                    times = np.maximum(np.bincount(gates, weights=np.tile(n, 2), minlength=len(weights)), 1)
                     for order in range(ORDERS):
-                        step = np.bincount(gate, weights=error * x[order], minlength=256) / np.maximum(total, 1)
-                        weights[:, order] += RATE * step
-        yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([weights.tobytes()], pa.binary())], names=["mass", "weights"])
+                        weights[:, order] += RATE * np.bincount(gates, weights=np.tile(error * x[order], 2), minlength=len(weights)) / times
+        if now is not None:
+            more, share = done()
+            total, shares = total + more, shares + share
+            cells = np.append(total.ravel(), shares)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "sum"])
 
-    got = _dealt(grams).mapInArrow(learn, "mass double, weights binary").where("mass > 0").collect()
-    total, mass = np.zeros((256, ORDERS)), sum(r.mass for r in got)
-    for r in got:
-        total += np.frombuffer(r.weights).reshape(256, ORDERS) * (r.mass / mass)
-    return total if got else np.full((256, ORDERS), START)
+    if not mass:
+        return _start()
+    got = {r.cell: r["sum"] for r in _added(_dealt(grams, whole_slices=True).mapInArrow(learn, "cell long, sum long"), "sum")}
+    size = GATES + ORDERS * PLACES
+    shares = got.get(size * ORDERS, 0)
+    return np.array([got[k] / UNIT / shares for k in range(size * ORDERS)]).reshape(size, ORDERS) if shares else _start()
 
 
 def _refinement(grams: DataFrame, low, weights: np.ndarray) -> np.ndarray:
     """What share of bits were 1 where the mix said so much, for each gate."""
+    size = GATES * CELLS
 
     def learn(batches):
-        total = np.zeros((2, 256 * CELLS))
-        for counts, _ in _blocks(batches, low.value):
+        total = np.zeros((2, size), dtype=np.int64)
+        for _, counts, _ in _blocks(batches, low.value):
             known = np.flatnonzero(counts.n)
             for k in range(0, len(known), 65536):
                 at = known[k : k + 65536]
                 n = counts.n[at]
                 for bit in range(8):
-                    x, gate, came = counts.inputs(at, bit, True)
-                    cell, part = _cells(np.einsum("ok,ko->k", x, weights[gate]))
-                    for cells, w in ((cell, (1 - part) * n), (cell + 1, part * n)):
+                    x, gate, second, came = counts.inputs(at, bit, True)
+                    cell, part = _cells(_mixed(x, weights, gate, second))
+                    upper = np.rint(part * n * FINE)
+                    for cells, w in ((cell, n * FINE - upper), (cell + 1, upper)):
                         place = gate * CELLS + cells
-                        total[0] += np.bincount(place, weights=w, minlength=256 * CELLS)
-                        total[1] += np.bincount(place, weights=w * came, minlength=256 * CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+                        total[0] += np.bincount(place, weights=w, minlength=size).astype(np.int64)
+                        total[1] += np.bincount(place, weights=w * came, minlength=size).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), *(pa.array(t) for t in total)], names=["cell", "every", "ones"])
 
-    total = np.zeros((2, 256 * CELLS))
-    for r in _dealt(grams).mapInArrow(learn, "total binary").collect():
-        total += np.frombuffer(r.total).reshape(2, -1)
-    start = np.tile(_squash(np.linspace(-8, 8, CELLS)), 256)
-    return ((total[1] + 4 * start) / (total[0] + 4)).reshape(256, CELLS)
+    total = np.zeros((2, size))
+    for r in _added(_dealt(grams).mapInArrow(learn, "cell long, every long, ones long"), "every ones"):
+        total[:, r.cell] = r.every / FINE, r.ones / FINE
+    start = np.tile(_squash(np.linspace(-8, 8, CELLS)), GATES)
+    return ((total[1] + 4 * start) / (total[0] + 4)).reshape(GATES, CELLS)
 
 
 def train(texts: DataFrame) -> tuple[Model, Written]:
@@ -359,7 +447,7 @@ def train(texts: DataFrame) -> tuple[Model, Written]:
     for r in grams.df.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).collect():
         low[r.key] = r.n
     held = sc.broadcast(low)
-    weights = _mixer(grams.df, held)
+    weights = _mixer(grams.df, held, float(low.sum()))
     refined = _refinement(grams.df, held, weights)
     held.unpersist()
     return Model(grams, low, weights, refined, {"n": int(n), "v": int(v)}), words

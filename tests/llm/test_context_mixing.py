@@ -82,7 +82,7 @@ def test_no_contexts_share_counts(spark):
     text = "".join(chr(rng.randrange(32, 127)) for _ in range(200_000))  # far more contexts than 2^18 of two bytes
     model, _ = cm.train(spark.createDataFrame([(text,)], "text string"))
     raw = bytes(cm.ORDERS - 1) + text.encode() + b"\0"
-    keys = [int.from_bytes(raw[k : k + cm.ORDERS], "big") for k in range(0, len(text), 20_011)] + [0x4142434445FF]
+    keys = [int.from_bytes(raw[k : k + cm.ORDERS], "big") for k in range(0, len(text), 20_011)] + [0x414243444546FF]
     counts = Counter()
     for k in range(cm.ORDERS - 1, len(raw)):
         for order in range(cm.ORDERS):
@@ -94,10 +94,13 @@ def test_no_contexts_share_counts(spark):
         own, want = key.to_bytes(cm.ORDERS, "big"), 0.0
         for bit in range(8):
             gate, came, mixed = 1 << bit | own[-1] >> 8 - bit, own[-1] >> 7 - bit & 1, 0.0
+            place = next((k for k in range(cm.ORDERS - 1) if own[-2 - k] in b"\0\t\n\v\f\r "), cm.ORDERS - 1)
+            seen = max((order for order in range(cm.ORDERS) if any(b >> 8 - bit == own[-1] >> 8 - bit for b, _ in by_context.get(own[cm.ORDERS - 1 - order : -1], []))), default=0)
+            second = cm.GATES + seen * cm.PLACES + place
             for order in range(cm.ORDERS):
                 fits = [(b >> 7 - bit & 1, n) for b, n in by_context.get(own[cm.ORDERS - 1 - order : -1], []) if b >> 8 - bit == own[-1] >> 8 - bit]
                 n1, n0 = (sum(n for b, n in fits if b == x) for x in (1, 0))
-                mixed += model.weights[gate, order] * np.clip(np.log((n1 + cm.DELTA) / (n0 + cm.DELTA)), -9, 9)
+                mixed += (model.weights[gate, order] + model.weights[second, order]) * np.clip(np.log((n1 + cm.DELTA) / (n0 + cm.DELTA)), -9, 9)
             low, part = cm._cells(np.array([mixed]))
             fine = model.refined[gate, low[0]] * (1 - part[0]) + model.refined[gate, low[0] + 1] * part[0]
             p = np.clip((1 / (1 + np.exp(-mixed)) + fine) / 2, 1e-6, 1 - 1e-6)
@@ -110,3 +113,16 @@ def test_joined_grams_score_as_those_sent_to_all_tasks(spark, monkeypatch):
     want = sorted((str(r.doc_id), r.n_bytes, r.score) for r in scored(spark, rows))
     monkeypatch.setattr(cm, "GRAM_HEAD", 40)
     assert sorted((str(r.doc_id), r.n_bytes, r.score) for r in scored(spark, rows)) == want
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows, got = corpus(), []
+    for shuffled, split in ((3, 2), (11, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffled))
+        try:
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(split)
+            out = cm.score_texts(df, remainder(F.col("doc_id"), 7) != 2)
+            got.append(sorted((str(r.doc_id), r.n_bytes, r.score) for r in out.collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
