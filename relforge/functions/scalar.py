@@ -7,6 +7,7 @@ name their operand once, so nested expressions grow linearly.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,3 +135,18 @@ def ordered(column: Column, descending: bool, nulls_first: bool) -> Column:
     if descending:
         return column.desc_nulls_first() if nulls_first else column.desc_nulls_last()
     return column.asc_nulls_first() if nulls_first else column.asc_nulls_last()
+
+
+def comparator(keys: Sequence[tuple[str, bool, bool]]) -> Callable[[Column, Column], Column]:
+    """How two structs compare by their fields (name, descending, nulls first), for sorting an array."""
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for name, descending, nulls_first in reversed(keys):
+            x, y = (b[name], a[name]) if descending else (a[name], b[name])
+            first, last = (F.lit(-1), F.lit(1)) if nulls_first else (F.lit(1), F.lit(-1))
+            one_null = F.when(a[name].isNull() & b[name].isNotNull(), first).when(a[name].isNotNull() & b[name].isNull(), last)
+            out = one_null.when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(out)
+        return out
+
+    return compare

@@ -395,7 +395,7 @@ class Compiler:
         for join in query.joins:
             self._join(rows, join)
         if around is not None and around.columns:
-            rows.df = rows.df.crossJoin(around.domain)  # equalities in WHERE make it an equi-join
+            rows.df = rows.df.crossJoin(around.domain)  # equalities in WHERE make it an equi-join; without one it stays a loop over the distinct outer values
         return rows
 
     def _join(self, rows: Rows, join: s.Join) -> None:
@@ -721,20 +721,20 @@ class Compiler:
     def _gathered(self, query: s.Select, rows: Rows) -> Answer:
         if query.group or query.order or query.distinct:
             raise refused("a query that gathers JSON has no GROUP BY, ORDER BY or DISTINCT of its own")
-        outputs, columns, places = [], [], {}
+        outputs, columns = [], []
         for item in query.items:
-            gather, ident, place = item.value, self.ident(), self.ident()
+            gather, ident = item.value, self.ident()
             order = [(rows.find(o.column), o) for o in gather.order]
             if any(kind == "json" for (_, kind), _ in order):
                 raise scalar.mismatch("JSON values have no order")
             chosen = [(i, o.descending, o.places_nulls_first) for (i, _), o in order] or rows.order
-            sort = [scalar.ordered(F.col(c), d, n) for c, d, n in chosen] + [F.col(t).asc_nulls_last() for t in rows.ties if t not in {c for c, _, _ in chosen}]
-            places[place] = F.row_number().over(Window.partitionBy(*rows.carried).orderBy(*(sort or [F.lit(0)])))
+            keys = [*chosen, *((t, False, False) for t in rows.ties if t not in {c for c, _, _ in chosen})]
             element = self._json(gather.element, rows)
-            in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), element.alias("e")))), lambda x: x["e"])
+            each = F.collect_list(F.struct(*(F.col(c).alias(f"k{k}") for k, (c, _, _) in enumerate(keys)), element.alias("e")))
+            in_order = F.transform(F.array_sort(each, scalar.comparator([(f"k{k}", d, n) for k, (_, d, n) in enumerate(keys)])) if keys else each, lambda x: x["e"])
             columns.append(F.when(F.count(F.lit(1)) > 0, F.concat(F.lit("["), F.array_join(in_order, ","), F.lit("]"))).alias(ident))
             outputs.append((Out(item.alias or ("coalesce" if gather.coalesced else "json_agg"), "json", ident), gather.coalesced))
-        df = rows.df.withColumns(places).groupBy(*rows.carried).agg(*columns)
+        df = rows.df.groupBy(*rows.carried).agg(*columns)
         defaults = {o.ident: "[]" for o, coalesced in outputs if coalesced}
         return Answer(self._defaulted(df, defaults), [o for o, _ in outputs], [], [], rows.carried, True, defaults)
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EngineError
 from .session import Database
 
 KEYS = {
@@ -106,6 +108,9 @@ READS: dict[str, Query] = {
     "agg_empty_groups": Query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice < 0 GROUP BY o_orderstatus", "ti"),
     "agg_min_max_text": Query("SELECT min(p_name) AS lowest, max(p_type) AS highest, count(p_brand) AS n FROM part", "tti"),
     "agg_order_limit": Query("SELECT o_custkey, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10", "iii"),
+    "agg_sum_float": Query("SELECT l_returnflag, sum(l_quantity) AS quantity, avg(l_linenumber) AS line FROM lineitem GROUP BY l_returnflag", "tff"),
+    "agg_sum_float_global": Query("SELECT sum(l_quantity) AS quantity FROM lineitem WHERE l_linestatus = 'O'", "f"),
+    "agg_default_names": Query("SELECT count(*), sum(o_custkey), min(o_orderstatus), max(o_totalprice) FROM orders", "iitf", oracle="SELECT count(*) AS count, sum(o_custkey) AS sum, min(o_orderstatus) AS min, max(o_totalprice) AS max FROM orders"),
     "distinct_cols": Query("SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem", "ti"),
     # order and limits
     "order_output_alias": Query("SELECT p_partkey AS k, p_size AS s FROM part ORDER BY s DESC, k LIMIT 15", "ii"),
@@ -116,10 +121,10 @@ READS: dict[str, Query] = {
     "limit_zero": Query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 0", "i"),
     # expressions
     "expr_int_div": Query("SELECT p_partkey, (p_size - 25) / 7 AS q, p_retailprice / 4 AS f FROM part", "iif", oracle="SELECT p_partkey, (p_size - 25) // 7 AS q, p_retailprice / 4 AS f FROM part"),
-    "expr_mod": Query("SELECT p_partkey, (p_size - 25) % 7 AS r FROM part WHERE p_partkey % 3 = 1", "ii"),
+    "expr_mod": Query("SELECT p_partkey, (p_size - 25) % 7 AS r FROM part WHERE p_size % 3 = 1", "ii"),
     "expr_concat": Query("SELECT n_nationkey, n_name || ':' || n_name AS twice FROM nation", "it"),
     "expr_precedence": Query("SELECT p_partkey, -p_size + 2 * 3 - (p_size - 1) * 2 AS v FROM part WHERE 1 + p_size * 2 > 30 - p_size", "ii"),
-    "expr_null": Query("SELECT p_partkey, p_size + NULL AS nothing FROM part WHERE p_partkey < 20", "ii"),
+    "expr_null": Query("SELECT p_partkey, p_size + NULL AS nothing FROM part", "ii"),
     # nested queries
     "scalar_subquery_count": Query("SELECT c.c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000) AS n FROM customer c", "ii"),
     "scalar_subquery_value": Query("SELECT n.n_name, (SELECT r.r_name FROM region r WHERE r.r_regionkey = n.n_regionkey) AS region FROM nation n", "tt"),
@@ -164,7 +169,7 @@ NULLS: dict[str, str] = {
     "null_not_in": "SELECT p_partkey FROM holes WHERE p_size NOT IN (1, 2, 3)",
     "null_not_in_query": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT p_size FROM holes)",
     "null_in_query_or": "SELECT p_partkey FROM holes WHERE p_size IN (SELECT n_nationkey FROM nation) OR p_brand IS NULL",
-    "order_nulls": "SELECT p_partkey, p_size FROM holes ORDER BY p_size DESC, p_partkey LIMIT 40",
+    "order_nulls": "SELECT p_partkey, p_size FROM holes ORDER BY p_size DESC, p_partkey",
     "order_nulls_placed": "SELECT p_partkey, p_size, p_brand FROM holes ORDER BY p_brand ASC NULLS FIRST, p_size DESC NULLS LAST, p_partkey LIMIT 50",
     "agg_nulls": "SELECT p_brand, count(*) AS n, count(p_size) AS sized, sum(p_size) AS total, min(p_retailprice) AS low FROM holes GROUP BY p_brand",
     "distinct_nulls": "SELECT DISTINCT p_size FROM holes",
@@ -219,6 +224,23 @@ WRITES: dict[str, tuple[str, str]] = {
         "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey + 50 AS BIGINT) AS n_regionkey FROM nation"),
     "ddl_columns": ("ALTER TABLE region ADD COLUMN size INTEGER DEFAULT 3; ALTER TABLE region RENAME COLUMN r_name TO title; UPDATE region SET size = 4 WHERE r_regionkey = 0; SELECT * FROM region",
         "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name AS title, CAST(CASE WHEN r_regionkey = 0 THEN 4 ELSE 3 END AS BIGINT) AS size FROM region"),
+    "dml_default_values": ("CREATE TABLE stock (id INTEGER PRIMARY KEY DEFAULT 4, place TEXT NOT NULL DEFAULT 'shelf', n INTEGER DEFAULT 2, share FLOAT, open BOOLEAN DEFAULT true); INSERT INTO stock DEFAULT VALUES; INSERT INTO stock (id, n) VALUES (5, DEFAULT); SELECT * FROM stock",
+        "SELECT CAST(i AS BIGINT) AS id, 'shelf' AS place, CAST(2 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS share, true AS open FROM (VALUES (4), (5)) v(i)"),
+    "ddl_create_constraints": ("CREATE TABLE office (code INTEGER, floor TEXT, n_key INTEGER REFERENCES nation ON DELETE CASCADE, badge TEXT UNIQUE, PRIMARY KEY (code, floor)); INSERT INTO office VALUES (1, 'a', 3, 'x'), (1, 'b', 4, 'y'), (2, 'a', NULL, NULL), (3, 'c', NULL, NULL); "
+        "INSERT INTO office VALUES (9, 'z', 5, 'y') ON CONFLICT (badge) DO UPDATE SET n_key = EXCLUDED.n_key; DELETE FROM nation WHERE n_nationkey = 3; SELECT code, floor, n_key FROM office",
+        "SELECT CAST(a AS BIGINT) AS code, b AS floor, CAST(c AS BIGINT) AS n_key FROM (VALUES (1, 'b', 5), (2, 'a', NULL), (3, 'c', NULL)) v(a, b, c)"),
+    "ddl_index_reads": ("CREATE INDEX by_segment ON customer (c_mktsegment, c_nationkey); CREATE UNIQUE INDEX by_name ON customer (c_name); SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey >= 5 AND c_nationkey < 17",
+        "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey >= 5 AND c_nationkey < 17"),
+    "ddl_index_upsert": ("CREATE UNIQUE INDEX by_label ON region (r_name); INSERT INTO region VALUES (40, 'ASIA'), (41, 'MOON') ON CONFLICT (r_name) DO UPDATE SET r_name = EXCLUDED.r_name || '!'; DROP INDEX by_label; INSERT INTO region VALUES (42, 'MOON'); SELECT * FROM region",
+        "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, CASE r_name WHEN 'ASIA' THEN 'ASIA!' ELSE r_name END AS r_name FROM region UNION ALL SELECT 41, 'MOON' UNION ALL SELECT 42, 'MOON'"),
+    "ddl_drop_table": ("DROP TABLE region CASCADE; INSERT INTO nation VALUES (77, 'FREE', 12345); SELECT n_nationkey, n_regionkey FROM nation",
+        "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation UNION ALL SELECT 77, 12345"),
+    "ddl_defaults": ("ALTER TABLE region ALTER COLUMN r_name SET DEFAULT 'none'; INSERT INTO region (r_regionkey) VALUES (60); ALTER TABLE region ALTER COLUMN r_name DROP DEFAULT; INSERT INTO region (r_regionkey) VALUES (61); DELETE FROM region WHERE r_name IS NULL; ALTER TABLE region ALTER r_name SET NOT NULL; SELECT * FROM region",
+        "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region UNION ALL SELECT 60, 'none'"),
+    "ddl_types": ("ALTER TABLE region ALTER r_name TYPE VARCHAR(40); ALTER TABLE region ALTER COLUMN r_regionkey SET DATA TYPE BIGINT; ALTER TABLE region DISABLE ROW LEVEL SECURITY; INSERT INTO region VALUES (9007199254740991, 'far'); SELECT * FROM region",
+        "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region UNION ALL SELECT 9007199254740991, 'far'"),
+    "ddl_constraints_dropped": ("ALTER TABLE region ADD CONSTRAINT one_name UNIQUE (r_name); ALTER TABLE region DROP CONSTRAINT one_name; INSERT INTO region VALUES (70, 'ASIA'); SELECT r_name, count(*) AS n FROM region GROUP BY r_name",
+        "SELECT r_name, CAST(count(*) + (r_name = 'ASIA')::INT AS BIGINT) AS n FROM region GROUP BY r_name"),
     "ddl_drop_column": ("ALTER TABLE nation DROP COLUMN n_regionkey; ALTER TABLE nation RENAME TO land; SELECT * FROM land", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation"),
 }
 # fmt: on
@@ -248,6 +270,77 @@ def transaction_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.query("SELECT * FROM region").df
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def savepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of a transaction in which one statement and one script are refused, and of one that is rolled back."""
+    db = _writable(spark, sf_dir)
+    with db.transaction() as tx:
+        tx.query("INSERT INTO region VALUES (30, 'kept')")
+        for refused_ in ("INSERT INTO region VALUES (31, 'lost'), (30, 'again')", "UPDATE region SET r_regionkey = 1"):
+            with suppress(EngineError):
+                tx.query(refused_)
+        with suppress(EngineError):
+            tx.exec("INSERT INTO region VALUES (32, 'lost'); INSERT INTO region VALUES (32, 'again')")
+        tx.query("UPDATE region SET r_name = r_name || '+' WHERE r_regionkey = 30")
+    with db.transaction() as tx:
+        tx.query("DELETE FROM region")
+        tx.rollback()
+    return db.query("SELECT * FROM region").df
+
+
+#: Statements that are refused, with the error's code.
+REFUSED = {
+    "SELECT r_name FROM region WHERE r_regionkey = 'x'": "TYPE_MISMATCH", "SELECT r_name FROM region WHERE r_name < 3": "TYPE_MISMATCH", "SELECT sum(r_name) FROM region": "TYPE_MISMATCH",
+    "SELECT r_name FROM region WHERE r_regionkey": "UNSUPPORTED_SQL", "SELECT r_name FROM region RIGHT JOIN nation ON r_regionkey = n_regionkey": "UNSUPPORTED_SQL",
+    "SELECT count(DISTINCT n_regionkey) FROM nation": "UNSUPPORTED_SQL", "SELECT n_regionkey, count(*) FROM nation GROUP BY n_regionkey HAVING count(*) > 1": "UNSUPPORTED_SQL",
+    "SELECT row_number() OVER (ORDER BY n_name) FROM nation": "UNSUPPORTED_SQL", "SELECT r_name FROM region UNION SELECT n_name FROM nation": "UNSUPPORTED_SQL",
+    "SELECT lower(r_name) FROM region": "UNSUPPORTED_SQL", "SELECT CASE WHEN true THEN 1 END FROM region": "UNSUPPORTED_SQL", "SELECT n_name, count(*) FROM nation": "INVALID_QUERY",
+    "SELECT n_regionkey, count(*) FROM nation GROUP BY n_regionkey ORDER BY n_name": "INVALID_QUERY", "SELECT r_name FROM nowhere": "TABLE_NOT_FOUND", "SELECT size FROM region": "COLUMN_NOT_FOUND",
+    "INSERT INTO region VALUES (1, 'twice')": "CONSTRAINT_VIOLATION", "INSERT INTO nation VALUES (90, 'x', 90)": "CONSTRAINT_VIOLATION", "UPDATE region SET r_regionkey = 1": "CONSTRAINT_VIOLATION",
+    "SELECT r_regionkey / 0 AS x FROM region": "DIVISION_BY_ZERO", "INSERT INTO region VALUES (NULL, 'x')": "CONSTRAINT_VIOLATION",
+}
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statement of REFUSED with the code it is refused by, and how many regions there are afterwards."""
+    db, out = _writable(spark, sf_dir), []
+    for sql in REFUSED:
+        try:
+            db.query(sql).rows  # noqa: B018
+            out.append((sql, None))
+        except EngineError as error:
+            out.append((sql, error.code))
+    left = db.query("SELECT count(*) AS n FROM region").rows[0]["n"]
+    return _table(spark, [(sql, code, left) for sql, code in out], "statement string, code string, regions long")
+
+
+def change_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener on region hears of a script, a transaction and a change of another table, with the rows changed."""
+    db, heard = _writable(spark, sf_dir), []
+    stop = db.subscribe(["region"], heard.append)
+    start = db.get_revision()
+    one = db.exec("INSERT INTO region VALUES (50, 'a'); UPDATE region SET r_name = 'b' WHERE r_regionkey IN (0, 50); DELETE FROM nation WHERE n_nationkey = 1")
+    with db.transaction() as tx:
+        tx.query("DELETE FROM region WHERE r_regionkey = $1", [50])
+        tx.query("INSERT INTO region VALUES (51, 'c')")
+    db.query("UPDATE nation SET n_name = 'x' WHERE n_nationkey = 2")
+    stop()
+    db.query("DELETE FROM region WHERE r_regionkey = 51")
+    rows = [(n.revision - start, k[0]) for n in heard for k in n.keys["region"]]
+    return _table(spark, rows + [(-1, sum(r.affected_rows for r in one)), (-2, len(db.check())), (-3, db.get_revision() - start)], "revision long, r_regionkey long")
+
+
+def row_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as objects, as arrays and by a template's values, in one table."""
+    db = database(spark, sf_dir, ("nation",))
+    objects = db.query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = $1", [1]).rows
+    arrays = db.query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = $1", [1], row_mode="array").rows
+    return _table(spark, [("object", r["n_nationkey"], r["n_name"]) for r in objects] + [("array", *r) for r in arrays], "shape string, n_nationkey long, n_name string")
+
+
 def _cast(sql: str, types: str, names: list[str]) -> str:
     return "SELECT " + ", ".join(f"CAST({n} AS {_SQL_TYPES[t]}) AS {n}" for n, t in zip(names, types, strict=True)) + f" FROM ({sql}) q"
 
@@ -256,7 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
     {n: q.run for n, q in READS.items()}
     | {n: _null_query(q) for n, q in NULLS.items()}
     | {n: _write_query(w) for n, (w, _) in WRITES.items()}
-    | {"set_schema_rename": set_schema_rename, "transaction_script": transaction_script}
+    | {"set_schema_rename": set_schema_rename, "transaction_script": transaction_script, "savepoints": savepoints, "refusals": refusals, "change_notices": change_notices, "row_shapes": row_shapes}
 )
 
 
@@ -279,4 +372,11 @@ def oracles() -> dict[str, str]:
     out |= {n: sql for n, (_, sql) in WRITES.items()}
     out["set_schema_rename"] = "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name AS label, CAST(5 AS BIGINT) AS rank FROM region"
     out["transaction_script"] = "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region WHERE r_regionkey <> 0 UNION ALL SELECT 20, 'TWENTY*' UNION ALL SELECT 21, 'MORE'"
+    out["savepoints"] = "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region UNION ALL SELECT 30, 'kept+'"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = ", ".join(f"({quote(sql)}, {quote(code)})" for sql, code in REFUSED.items())
+    out["refusals"] = f"SELECT a AS statement, b AS code, (SELECT count(*) FROM region) AS regions FROM (VALUES {listed}) v(a, b)"
+    out["change_notices"] = "SELECT CAST(a AS BIGINT) AS revision, CAST(b AS BIGINT) AS r_regionkey FROM (VALUES (1, 0), (1, 50), (2, 50), (2, 51), (-1, 4), (-2, 0), (-3, 4)) v(a, b)"
+    own = "CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1"
+    out["row_shapes"] = f"SELECT 'object' AS shape, {own} UNION ALL SELECT 'array', {own}"
     return out
