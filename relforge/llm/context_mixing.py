@@ -7,7 +7,8 @@ context seen before together with the place in the word.  The mix is refined by
 an adaptive table of what really came.  Everything is learned from the counts of
 all byte n-grams of all training texts: the predictors by adding up, weights by
 online updates over the n-grams (each leaving its own occurrence out), the
-refinement by adding up again.  The updates run over n-grams, not along texts,
+refinement by adding up what came of each prediction before its update.  The
+updates run over n-grams in a mixed order, not along texts,
 and the model is frozen when it scores, so a text's score depends on the text
 alone.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .kernels import chunks, text_buffers, word_hashes
 from .runtime import Written, remainder, small_batches
 
-ORDERS = 7
+ORDERS = 6
 DELTA, RATE, BATCH = 0.2, 0.1, 512
 #: Parts of the n-grams, by their two-byte contexts, in which weights are learned apart (a power of two).
 SLICES = 64
@@ -220,7 +221,7 @@ class Model:
                     whole = np.rint(total * UNIT).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(counts.keys[at].view(np.int64)), pa.array(m[at]), pa.array(whole)], names=["key", "m", "score"])
 
-        return _dealt(grams).mapInArrow(run, "key long, m long, score long")
+        return _dealt(grams.select("key", "n", "m")).mapInArrow(run, "key long, m long, score long")
 
     def compute(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probabilities of the lowest bytes after the others, without those known from before."""
@@ -346,20 +347,16 @@ def _summed_keys(texts: DataFrame, kind_of_key) -> DataFrame:
 def _dealt(grams: DataFrame, whole_slices: bool = False) -> DataFrame:
     """The n-grams in tasks that hold all those of a two-byte context, or of a slice, in the order of mixed contexts and keys."""
     mixed = (F.shiftright("key", 8).bitwiseAND(0xFFFF) * _MIX).bitwiseAND(0xFFFF)
-    by = F.floor(F.col("mixed") * SLICES / 65536) if whole_slices else F.col("mixed")
-    return grams.select("key", "n", "m", mixed.alias("mixed")).repartition(by).sortWithinPartitions("mixed", "key").select("key", "n", "m")
+    return grams.repartition(F.floor(mixed * SLICES / 65536) if whole_slices else mixed).sortWithinPartitions(mixed, "key")
 
 
-def _added(rows: DataFrame, names: str) -> list:
-    """Sums of whole numbers by cell, added up on the executors."""
-    return rows.groupBy("cell").agg(*(F.sum(c).alias(c) for c in names.split())).collect()
-
-
-def _mixer(grams: DataFrame, low, mass: float) -> np.ndarray:
-    """Weights by online updates over each slice's n-grams, averaged by the slices' shares of all occurrences (`mass`)."""
+def _learned(grams: DataFrame, low, mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, by online updates over each slice's n-grams, averaged by the slices' shares of all occurrences (`mass`); and what share of bits were 1 where the mix said so much, for each gate."""
+    gates, size = GATES + ORDERS * PLACES, GATES * CELLS
 
     def learn(batches):
-        total, shares, now, own, weights = np.zeros((GATES + ORDERS * PLACES, ORDERS), dtype=np.int64), 0, None, 0.0, None
+        total, shares, now, own, weights = np.zeros((gates, ORDERS), dtype=np.int64), 0, None, 0.0, None
+        seen = np.zeros((2, size), dtype=np.int64)
 
         def done():
             share = int(own * SHARE / mass)
@@ -378,51 +375,34 @@ def _mixer(grams: DataFrame, low, mass: float) -> np.ndarray:
                 n = counts.n[at]
                 for bit in range(8):
                     x, gate, second, came = counts.inputs(at, bit, True)
-                    error = (came - _squash(_mixed(x, weights, gate, second))) * n
-                    gates = np.concatenate([gate, second])
-                    times = np.maximum(np.bincount(gates, weights=np.tile(n, 2), minlength=len(weights)), 1)
+                    mixed = _mixed(x, weights, gate, second)
+                    cell, part_ = _cells(mixed)
+                    upper = np.rint(part_ * n * FINE)
+                    place, w = gate * CELLS + cell, n * FINE - upper
+                    np.add.at(seen[0], place, w.astype(np.int64))
+                    np.add.at(seen[0], place + 1, upper.astype(np.int64))
+                    np.add.at(seen[1], place, (w * came).astype(np.int64))
+                    np.add.at(seen[1], place + 1, (upper * came).astype(np.int64))
+                    error = (came - _squash(mixed)) * n
+                    both = np.concatenate([gate, second])
+                    times = np.maximum(np.bincount(both, weights=np.tile(n, 2), minlength=gates), 1)
                     for order in range(ORDERS):
-                        weights[:, order] += RATE * np.bincount(gates, weights=np.tile(error * x[order], 2), minlength=len(weights)) / times
+                        weights[:, order] += RATE * np.bincount(both, weights=np.tile(error * x[order], 2), minlength=gates) / times
         if now is not None:
             more, share = done()
-            total, shares = total + more, shares + share
-            cells = np.append(total.ravel(), shares)
+            cells = np.concatenate([(total + more).ravel(), [shares + share], seen.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "sum"])
 
-    if not mass:
-        return _start()
-    got = {r.cell: r["sum"] for r in _added(_dealt(grams, whole_slices=True).mapInArrow(learn, "cell long, sum long"), "sum")}
-    size = GATES + ORDERS * PLACES
-    shares = got.get(size * ORDERS, 0)
-    return np.array([got[k] / UNIT / shares for k in range(size * ORDERS)]).reshape(size, ORDERS) if shares else _start()
-
-
-def _refinement(grams: DataFrame, low, weights: np.ndarray) -> np.ndarray:
-    """What share of bits were 1 where the mix said so much, for each gate."""
-    size = GATES * CELLS
-
-    def learn(batches):
-        total = np.zeros((2, size), dtype=np.int64)
-        for _, counts, _ in _blocks(batches, low.value):
-            known = np.flatnonzero(counts.n)
-            for k in range(0, len(known), 65536):
-                at = known[k : k + 65536]
-                n = counts.n[at]
-                for bit in range(8):
-                    x, gate, second, came = counts.inputs(at, bit, True)
-                    cell, part = _cells(_mixed(x, weights, gate, second))
-                    upper = np.rint(part * n * FINE)
-                    for cells, w in ((cell, n * FINE - upper), (cell + 1, upper)):
-                        place = gate * CELLS + cells
-                        total[0] += np.bincount(place, weights=w, minlength=size).astype(np.int64)
-                        total[1] += np.bincount(place, weights=w * came, minlength=size).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), *(pa.array(t) for t in total)], names=["cell", "every", "ones"])
-
-    total = np.zeros((2, size))
-    for r in _added(_dealt(grams).mapInArrow(learn, "cell long, every long, ones long"), "every ones"):
-        total[:, r.cell] = r.every / FINE, r.ones / FINE
     start = np.tile(_squash(np.linspace(-8, 8, CELLS)), GATES)
-    return ((total[1] + 4 * start) / (total[0] + 4)).reshape(GATES, CELLS)
+    if not mass:
+        return _start(), start.reshape(GATES, CELLS)
+    dealt = _dealt(grams.where("n > 0").select("key", "n", F.lit(0).cast("long").alias("m")), whole_slices=True)
+    got = np.zeros(gates * ORDERS + 1 + 2 * size, dtype=np.int64)
+    for r in dealt.mapInArrow(learn, "cell long, sum long").groupBy("cell").agg(F.sum("sum").alias("sum")).collect():
+        got[r.cell] = r["sum"]
+    shares, (every, ones) = int(got[gates * ORDERS]), got[gates * ORDERS + 1 :].reshape(2, size) / FINE
+    weights = (got[: gates * ORDERS] / UNIT / shares).reshape(gates, ORDERS) if shares else _start()
+    return weights, ((ones + 4 * start) / (every + 4)).reshape(GATES, CELLS)
 
 
 def train(texts: DataFrame) -> tuple[Model, Written]:
@@ -447,8 +427,7 @@ def train(texts: DataFrame) -> tuple[Model, Written]:
     for r in grams.df.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).collect():
         low[r.key] = r.n
     held = sc.broadcast(low)
-    weights = _mixer(grams.df, held, float(low.sum()))
-    refined = _refinement(grams.df, held, weights)
+    weights, refined = _learned(grams.df, held, float(low.sum()))
     held.unpersist()
     return Model(grams, low, weights, refined, {"n": int(n), "v": int(v)}), words
 
