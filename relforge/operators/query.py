@@ -519,7 +519,7 @@ class Compiler:
                 rows.df = rows.df.withColumn(ident, column)
                 outputs.append(Out(item.alias or "?column?", "text" if kind == "null" else kind, ident))
         if len(outputs) > MAX_COLUMNS:
-            raise invalid(f"more than {MAX_COLUMNS} columns")
+            raise invalid(f"a row holds at most {MAX_COLUMNS} columns")
         return outputs
 
     def _order(self, terms: Sequence[s.Order], outputs: list[Out], rows: Rows | None) -> list[tuple[str, bool, bool]]:
