@@ -14,9 +14,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of this process only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; in local mode a temporary one of this process, if none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = tempfile.mkdtemp(prefix="relforge-")
             atexit.register(shutil.rmtree, _OWN["dir"], True)
