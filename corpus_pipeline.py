@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written
 as Parquet and read again as the next stage's docs.  All but the last return the
-columns of `documents`; every stage reads all rows that its predecessor kept.
+columns of `documents` alone, whatever others there are; every stage reads all
+rows that its predecessor kept, whole texts, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised, which becomes their lang; those that are rejected go."""
+    """Documents whose language is recognised, which becomes their lang; those that are rejected go.
+
+    Null, empty and letterless texts are rejected, and all texts if none is
+    labelled.  The text alone decides, so rows that repeat one stay or go together;
+    a null doc_id or source stays as it is.
+    """
     docs = docs.select(*COLUMNS)
     found = langid.identify(docs, langid.train(docs.select("doc_id", "text", "lang")))
     return found.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -42,12 +48,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of `benchmark`, whole or edited."""
+    """Documents that hold no item of `benchmark`, whole or edited.
+
+    Null, empty and wordless texts hold none and are held by none; rows that
+    repeat a text stay or go together; without items all stay.
+    """
     return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark; n_chars follows the text."""
+    """All documents, with their secrets replaced by a mark; n_chars follows the text.
+
+    Null and empty texts have none; a text without one keeps its n_chars, be it
+    null or wrong.  Rows that repeat a text are changed alike.
+    """
     found = secrets.scan(docs.select(*COLUMNS))
     text = secrets.redacted("text", "secret_all")
     changed = found.withColumn("text", text).withColumn("n_chars", F.when(F.size("secret_all") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -55,7 +69,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are drawn for the mix, with their weight and probability."""
+    """The documents that are drawn for the mix, with their weight and probability.
+
+    Null and empty sources and languages are one value each; a text without
+    tokens has weight 0 and goes; rows that repeat a doc_id share its draw, a
+    null one draws as the empty text does.
+    """
     out = mixing.mix(docs.select(*COLUMNS)).where("mix_kept")
     return out.select(*COLUMNS, F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"))
 
