@@ -116,6 +116,7 @@ READS: dict[str, Query] = {
     "order_output_alias": Query("SELECT p_partkey AS k, p_size AS s FROM part ORDER BY s DESC, k LIMIT 15", "ii"),
     "order_shadowed": Query("SELECT p_size AS p_partkey, p_partkey AS k FROM part ORDER BY part.p_partkey DESC LIMIT 7", "ii", oracle="SELECT p_size AS p_partkey, p_partkey AS k FROM part ORDER BY k DESC LIMIT 7"),
     "top_k": Query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT $1", "iif", (25,)),
+    "read_in_order": Query("SELECT * FROM customer ORDER BY c_custkey", "itift", oracle="SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"),
     "offset_only": Query("SELECT c_custkey FROM customer ORDER BY c_custkey OFFSET 100", "i"),
     "limit_offset": Query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10 OFFSET 5", "if"),
     "limit_zero": Query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 0", "i"),
@@ -359,7 +360,7 @@ def oracles() -> dict[str, str]:
     from .plans.parser import parse
 
     out = {}
-    stars = {"select_star": ["n_nationkey", "n_name", "n_regionkey"], "star_beside": ["r_regionkey", "r_name", "next"], "join_star": ["r_regionkey", "r_name", "n_name"]}
+    stars = {"select_star": ["n_nationkey", "n_name", "n_regionkey"], "read_in_order": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "star_beside": ["r_regionkey", "r_name", "next"], "join_star": ["r_regionkey", "r_name", "n_name"]}
     for name, q in READS.items():
         tree = parse(q.sql)
         names = stars.get(name) or [i.alias or (i.value.name if isinstance(i.value, s.Column) else i.value.function) for i in tree.items]
