@@ -313,8 +313,8 @@ class Changer:
         if any(op in change.ops for op in "UD"):
             steps.append(Step("take", self.store.write(change.df.where("op <> 'I'").select(*change.old(table.primary_key)))))
         if any(op in change.ops for op in "IU"):
-            steps.append(Step("put", self.store.write(change.df.where("op <> 'D'").select(*change.new(table.names)))))
-        self.catalog = self.catalog.with_table(self.store.compacted(replace(table, steps=tuple(steps)), MOST_LAYERS))
+            steps.append(Step("put", self.store.write(change.df.where("op <> 'D'").select(*change.new(table.names)), self.catalog.layout(table.name))))
+        self.catalog = self.catalog.with_table(self.store.compacted(replace(table, steps=tuple(steps)), MOST_LAYERS, self.catalog.layout(table.name)))
 
     def _finish(self, change: Change, command: str, count: int | None, assigned: set[str] | None = None) -> Outcome:
         number = change.df.count() if count is None else count

@@ -100,6 +100,10 @@ class Catalog:
         """The columns of every unique index."""
         return [i.columns for i in self.indexes.values() if i.table == table and i.unique]
 
+    def layout(self, table: str) -> tuple[str, ...]:
+        """The columns that a table's layers are sorted by: those of its first index, or its primary key."""
+        return next((i.columns for i in self.indexes.values() if i.table == table), self.tables[table].primary_key)
+
     def keys_from(self, table: str) -> list[ForeignKey]:
         return [k for k in self.foreign_keys if k.table == table]
 

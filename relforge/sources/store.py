@@ -15,11 +15,12 @@ import os
 import tempfile
 import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import EngineError
-from .catalog import Catalog, Step, TableDef, read_step, read_table
+from .catalog import Catalog, Step, TableDef, quoted, read_step, read_table
 
 #: A first layer so many times as large as all later ones together is not written anew with them.
 LARGER = 4
@@ -113,16 +114,23 @@ class Store:
 
     # Layers
 
-    def write(self, df: DataFrame) -> str:
+    def write(self, df: DataFrame, by: Sequence[str] = (), ranged: bool = False) -> str:
+        """A new layer of the rows, sorted in its files by the columns `by`; if `ranged`, each file also has a range of them of its own.
+
+        So a filter on those columns skips row groups, or whole files, by their least and greatest values.
+        """
         path = f"{self.location}/layers/{uuid.uuid4().hex}"
+        columns = [quoted(c) for c in by]
+        if columns:
+            df = (df.repartitionByRange(*columns) if ranged else df).sortWithinPartitions(*columns)
         df.write.parquet(path)
         return path
 
     def _bytes(self, step: Step) -> int:
         return self._fs.getContentSummary(self._path(step.path)).getLength()
 
-    def compacted(self, table: TableDef, most: int) -> TableDef:
-        """The table in few layers, if it has more than `most`.
+    def compacted(self, table: TableDef, most: int, by: Sequence[str] = ()) -> TableDef:
+        """The table in few layers, sorted by the columns `by`, if it has more than `most`.
 
         Where the first layer is by far the largest it stays, and the others
         become two: all keys that they take out, and the rows that they leave;
@@ -142,9 +150,9 @@ class Store:
                     keys = keys.unionByName(more)
                 steps.append(Step("take", self.write(keys.distinct())))
             if any(step.kind == "put" for step in rest):
-                steps.append(Step("put", self.write(read_table(self.spark, replace(table, steps=tuple(rest))))))
+                steps.append(Step("put", self.write(read_table(self.spark, replace(table, steps=tuple(rest))), by)))
             return replace(table, steps=tuple(steps))
-        return replace(table, steps=(Step("put", self.write(read_table(self.spark, table))),))
+        return replace(table, steps=(Step("put", self.write(read_table(self.spark, table), by, ranged=True)),))
 
     def vacuum(self, catalog: Catalog, older_than: float) -> int:
         """Delete layers that `catalog` does not use and that are older than so many seconds; how many went."""
