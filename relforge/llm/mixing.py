@@ -105,7 +105,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tempers:
         others = ~F.col(at).isin(list(stated)) if stated else F.lit(True)
         norm, values = shares.agg(F.coalesce(F.sum(F.when(others, free)), F.lit(1.0)), F.count("*")).first()
         meet[name] = F.broadcast if values <= BROADCAST_CELLS else (lambda few: few)
-        target = free * F.lit(rest / norm)
+        target = free * F.lit(rest / (norm or 1.0))  # 0 if the other values have no tokens: nothing is left for them either
         for value, wanted in stated.items():
             target = F.when(F.col(at) == F.lit(value), F.lit(float(wanted))).otherwise(target)
         out = out.join(meet[name](shares.select(at, target.alias(f"want_{name}"))), at)

@@ -101,3 +101,9 @@ def test_topics_of_the_corpus_itself(spark):
     df = spark.createDataFrame([(1, "a b", "s", "en", "law"), (2, "a b c", "s", "en", "art"), (3, "x", "s", "en", None)], "doc_id long, text string, source string, lang string, subject string")
     out = mixing.mix(df, {"topic": {"law": 0.5}}, topics=[("law", "subject = 'law'"), ("art", "subject = 'art'")])
     assert {r.doc_id: r.mix_topic for r in out.collect()} == {1: "law", 2: "art", 3: mixing.OTHER_TOPIC}
+
+
+def test_targets_that_take_all_beside_a_value_without_tokens(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "en"), (2, "a b", "s", "fr"), (3, "", "s", None)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.mix_weight for r in mixing.mix(df, {"lang": {"en": 0.75, "fr": 0.25}}).collect()}
+    assert got == pytest.approx({1: 1.5, 2: 0.5, 3: 0.0})
