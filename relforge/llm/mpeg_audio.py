@@ -295,25 +295,53 @@ def payload_of(text: bytes) -> bytes:
     return text.ljust(max(64, -(-len(text) // 64) * 64), b"\0")
 
 
+def _stored(batches):
+    """Batches of doc_id, n_bytes and media from those of doc_id and text."""
+    for batch in batches:
+        size, media = [], []
+        for text in batch.column(1):
+            raw = b"" if not text.is_valid else text.as_buffer().to_pybytes()
+            size.append(len(raw))
+            media.append(write_stream(payload_of(raw)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+_READ = (
+    "doc_id long, n_bytes long, media binary, payload binary, frames long, samples long, duration_num long, duration_den long, "
+    "seek_offsets array<long>, bitrates array<int>, table_frames long, table_bytes long, crc_checked long, crc_bad long, skipped long"
+)
+
+
+def _parsed(batches):
+    """Batches of _READ from those of doc_id, n_bytes and media."""
+    names = [x.split()[0] for x in _READ.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.int64()] * 5]
+    for batch in batches:
+        rows = []
+        for blob in batch.column(2):
+            data = b"" if not blob.is_valid else blob.as_buffer().to_pybytes()
+            s = parse_stream(data)
+            table = s.table or {}
+            rows.append((
+                read_payload(data, s), len(s.headers), s.samples, s.duration.numerator, s.duration.denominator, s.offsets,
+                [h.bitrate // 1000 for h in s.headers], table.get("frames"), table.get("bytes"), s.crc_checked, s.crc_bad, s.skipped,
+            ))
+        more = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types[3:], strict=True)] if rows else [pa.array([], t) for t in types[3:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), *more], names=names)
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    small_batches(documents.sparkSession)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode_texts(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media for every row of `documents` (doc_id, text): the text's payload as an MPEG audio stream.
 
     A null text is an empty one.  Rows are kept as they come, repeated or not;
     other columns are not read.
     """
-
-    def run(batches):
-        for batch in batches:
-            size, media = [], []
-            for text in batch.column(1):
-                raw = b"" if not text.is_valid else text.as_buffer().to_pybytes()
-                size.append(len(raw))
-                media.append(write_stream(payload_of(raw)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
-
-    small_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return _texts(documents).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -324,30 +352,13 @@ def read_media(media: DataFrame) -> DataFrame:
     frame), bitrates, table_frames, table_bytes, crc_checked, crc_bad and
     skipped.  A null stream is an empty one.
     """
-    kind = (
-        "doc_id long, n_bytes long, media binary, payload binary, frames long, samples long, duration_num long, duration_den long, "
-        "seek_offsets array<long>, bitrates array<int>, table_frames long, table_bytes long, crc_checked long, crc_bad long, skipped long"
-    )
-    names = [x.split()[0] for x in kind.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.int64()] * 5]
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for blob in batch.column(2):
-                data = b"" if not blob.is_valid else blob.as_buffer().to_pybytes()
-                s = parse_stream(data)
-                table = s.table or {}
-                rows.append((
-                    read_payload(data, s), len(s.headers), s.samples, s.duration.numerator, s.duration.denominator, s.offsets,
-                    [h.bitrate // 1000 for h in s.headers], table.get("frames"), table.get("bytes"), s.crc_checked, s.crc_bad, s.skipped,
-                ))
-            more = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types[3:], strict=True)] if rows else [pa.array([], t) for t in types[3:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), *more], names=names)
-
     small_batches(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, kind)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_parsed, _READ)
+
 
+def store_and_read(documents: DataFrame) -> DataFrame:
+    """`read_media` of `encode_texts`, by one pass of Python: streams don't go to the JVM and back in between."""
+    return _texts(documents).mapInArrow(lambda batches: _parsed(_stored(batches)), _READ)
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -367,4 +378,4 @@ def digests(read: DataFrame) -> DataFrame:
 
 def media_features(documents: DataFrame) -> DataFrame:
     """Every text stored as a stream, read back and summed up: see `encode_texts`, `read_media` and `digests`."""
-    return digests(read_media(encode_texts(documents)))
+    return digests(store_and_read(documents))
