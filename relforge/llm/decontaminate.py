@@ -115,9 +115,8 @@ def _text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(9), text)
 
 
-def _words_of(rows: DataFrame, at: int) -> DataFrame:
-    """`rows` with the text in column `at` replaced by `words`, its word hashes in bytes; texts without words go."""
-    names = [c if k != at else "words" for k, c in enumerate(rows.columns)]
+def _worded(names: list[str], at: int):
+    """Batches with the text in column `at` replaced by its word hashes in bytes; texts without words go."""
 
     def run(batches):
         for batch in batches:
@@ -128,8 +127,7 @@ def _words_of(rows: DataFrame, at: int) -> DataFrame:
                 own = pa.array([hashes[begin[k] : begin[k + 1]].tobytes() for k in has], pa.binary())
                 yield pa.RecordBatch.from_arrays([own if k == at else c.slice(a, e - a).take(pa.array(has)) for k, c in enumerate(batch.columns)], names=names)
 
-    kinds = [f"{n} binary" if k == at else f"{n} long" for k, n in enumerate(names)]
-    return rows.mapInArrow(run, ", ".join(kinds))
+    return run
 
 
 def _item_seeds(batches):
@@ -175,7 +173,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame | N
     small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tests = benchmark.select(text.alias("text"), F.xxhash64(text).alias("item")).dropDuplicates(["item"])  # equal items are one
-    seeds = Written(_words_of(tests, 0).mapInArrow(_item_seeds, "seed long, item long, place int")).df
+    words_of_items = _worded(["words", "item"], 0)
+    # What follows in one task is one pass of Python: each pass of its own would be one more worker a core, held after the stage.
+    seeds = Written(tests.mapInArrow(lambda batches: _item_seeds(words_of_items(batches)), "seed long, item long, place int")).df
     n = seeds.count()
     if not n:
         return None
@@ -227,9 +227,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame | N
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    few = keyed.mapInArrow(of_wanted, "text string, hi long, lo long")
-    words = _words_of(few, 0).groupBy("hi", "lo").agg(F.first("words").alias("words"))
-    own = _words_of(tests, 0).withColumnRenamed("words", "own")
+    words_of_texts = _worded(["words", "hi", "lo"], 0)
+    few = keyed.mapInArrow(lambda batches: words_of_texts(of_wanted(batches)), "words binary, hi long, lo long")
+    words = few.groupBy("hi", "lo").agg(F.first("words").alias("words"))
+    own = tests.mapInArrow(words_of_items, "words binary, item long").withColumnRenamed("words", "own")
     ready = pairs.join(words, ["hi", "lo"]).join(own, "item").select("hi", "lo", "item", "own", "words", "at", "place", "need")
 
     def aligned(batches):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .kernels import chunks, row_sets, shingle_hashes, text_buffers, word_hashes
 from .runtime import Written, small_batches
-from .sketch import count_hashes, heavy_bits
+from .sketch import heavy_bits
 
 #: Counters of the n-gram count table, as powers of two, at least and at most; one for every BYTES_A_COUNTER of text in between.
 COUNTER_BITS, MOST_COUNTER_BITS, BYTES_A_COUNTER = 22, 25, 96
@@ -83,8 +83,8 @@ def _prefixes(spark, docs: DataFrame, width: int, num: int, den: int) -> DataFra
             yield values
 
     bits = counter_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    counted = count_hashes(docs.select("text"), of_batch, bits)
-    heavy_now, mask = spark.sparkContext.broadcast(np.packbits(heavy_bits(counted, bits, LIST_LEAST, 3.0))), np.uint64((1 << bits) - 1)
+    marks = heavy_bits(docs.select("text"), of_batch, bits, LIST_LEAST, 3.0)
+    heavy_now, mask = spark.sparkContext.broadcast(np.packbits(marks)), np.uint64((1 << bits) - 1)
 
     def prefix(batches):
         heavy_at = np.unpackbits(heavy_now.value).astype(bool)
@@ -327,7 +327,7 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 4, num: int = 85, den:
     def low_of(batch):
         yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
-    marks = heavy_bits(count_hashes(placed.df.select("lo"), low_of, FILTER_BITS), FILTER_BITS, 0, 0.0)
+    marks = heavy_bits(placed.df.select("lo"), low_of, FILTER_BITS, 0, 0.0)
     wanted, mask = spark.sparkContext.broadcast(np.packbits(marks)), np.uint64((1 << FILTER_BITS) - 1)
 
     def whole(batches):

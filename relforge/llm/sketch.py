@@ -12,36 +12,38 @@ SLOTS = 256
 _GATHER = 1 << 20
 
 
-def count_hashes(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> DataFrame:
-    """(slot, counters): 2**bits counters of uint32 in SLOTS rows, for all hashes that hashes_of makes of df's batches.
+def add_counts(table: np.ndarray, values: np.ndarray) -> None:
+    """Count the values (uint64) in the counters that their last bits name, in place: nothing else of the table's size is made."""
+    np.add.at(table, (values & np.uint64(len(table) - 1)).astype(np.intp), np.uint32(1))
 
-    Each task sends one table of fixed size; the tables are added as they
-    stream in, so memory does not depend on the number of tasks.
+
+def heavy_bits(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, least: int, times: float) -> np.ndarray:
+    """One bit a counter, of 2**bits that count all hashes that hashes_of makes of df's batches: those above max(least, times x the mean of a slot's).
+
+    Each task sends one table of fixed size in SLOTS rows; the tables are added
+    as they stream in and marked by the same pass of Python, so memory does not
+    depend on the number of tasks.  What comes to the driver is 2**bits / 8
+    bytes, whatever the input.
     """
     size, part = 1 << bits, (1 << bits) // SLOTS
 
     def count(batches):
         table, waiting, n = np.zeros(size, dtype=np.uint32), [], 0
-
-        def add():
-            table[:] += np.bincount((np.concatenate(waiting) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
-
         for batch in batches:
             for got in hashes_of(batch):
                 waiting.append(got)
                 n += len(got)
                 if n >= _GATHER:
-                    add()
+                    add_counts(table, np.concatenate(waiting))
                     waiting, n = [], 0
         if waiting:
-            add()
-        small = np.minimum(table, 65535).astype(np.uint16)
+            add_counts(table, np.concatenate(waiting))
         for s in range(SLOTS):
-            own = small[s * part : (s + 1) * part]
+            own = np.minimum(table[s * part : (s + 1) * part], 65535).astype(np.uint16)
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["slot", "counters"])
 
-    def total(batches):
+    def mark(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -49,31 +51,11 @@ def count_hashes(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
                     sums[s] = np.zeros(part, dtype=np.uint32)
                 sums[s] += np.frombuffer(blob.as_buffer(), dtype=np.uint16)
         for s, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["slot", "counters"])
-
-    kind = "slot int, counters binary"
-    return df.mapInArrow(count, kind).repartition("slot").mapInArrow(total, kind)
-
-
-def heavy_bits(counted: DataFrame, bits: int, least: int, times: float) -> np.ndarray:
-    """One bit a counter that marks those above max(least, times x their slot's mean).
-
-    What comes to the driver is 2**bits / 8 bytes, whatever the input.
-    """
-    part = (1 << bits) // SLOTS
-
-    def mark(batches):
-        for batch in batches:
-            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(blob.as_buffer(), dtype=np.uint32)
-                bound = max(least, int(times * own.mean()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), pa.array([np.packbits(own > bound).tobytes()], pa.binary())],
-                    names=["slot", "marks"],
-                )
+            bound = max(least, int(times * own.mean()))
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(own > bound).tobytes()], pa.binary())], names=["slot", "marks"])
 
     out = np.zeros((SLOTS, part // 8), dtype=np.uint8)
-    for row in counted.mapInArrow(mark, "slot int, marks binary").collect():
+    for row in df.mapInArrow(count, "slot int, counters binary").repartition("slot").mapInArrow(mark, "slot int, marks binary").collect():
         out[row.slot] = np.frombuffer(row.marks, dtype=np.uint8)
     return np.unpackbits(out.ravel()).astype(bool)
 

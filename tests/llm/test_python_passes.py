@@ -1,11 +1,15 @@
 """Each pass of Python in a task is one more worker, whose memory the executor holds for as long as the worker waits for its next task."""
 
+import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
-from relforge.llm import mpeg_audio
+from relforge.llm import decontaminate, mpeg_audio, sketch
+from relforge.llm.ngram_jaccard import ngram_jaccard_join
 
 
 def chained(df):
@@ -35,6 +39,44 @@ def passes(monkeypatch):
     return made
 
 
+def rows():
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    items = [(k, prose(20)) for k in range(5)]
+    return [(k, f"{prose(30)} {items[k % 5][1] if k % 3 == 0 else ''}") for k in range(60)], items
+
+
+def test_decontamination_has_one_pass_of_python_in_a_task(spark, passes):
+    docs, items = rows()
+    out = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == {k for k in range(60) if k % 3}
+    assert len(passes) > 3 and not any(map(chained, passes))
+
+
+def test_near_duplicates_have_one_pass_of_python_in_a_task(spark, passes):
+    docs, _ = rows()
+    assert ngram_jaccard_join(spark.createDataFrame([*docs, (60, docs[7][1])], "doc_id long, text string")).where("n_links = 1").count() == 2
+    assert len(passes) > 3 and not any(map(chained, passes))
+
+
+def test_counting_takes_no_second_table():
+    rng = np.random.default_rng(1)
+    table, values = np.zeros(1 << 22, dtype=np.uint32), rng.integers(0, 1 << 10, 5000).astype(np.uint64) << np.uint64(3)
+    tracemalloc.start()
+    sketch.add_counts(table, values)
+    sketch.add_counts(table, values)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < table.nbytes / 8
+    assert (table == 2 * np.bincount(values.astype(np.int64), minlength=len(table))).all()
+
+
+def test_marks_are_those_of_plain_counts(spark):
+    values = [k * k % 97 for k in range(3000)] + [2**62 + 5] * 70
+    got = sketch.heavy_bits(spark.createDataFrame([(x,) for x in values], "x long"), lambda batch: iter([batch.column(0).to_numpy().view(np.uint64)]), 12, 40, 0.0)
+    assert set(np.flatnonzero(got).tolist()) == {x for x in set(y % 4096 for y in values) if sum(y % 4096 == x for y in values) > 40}
+
+
 def test_media_have_one_pass_of_python_in_a_task(spark, passes):
     df = spark.createDataFrame([(1, "some text " * 300), (2, ""), (3, None), (3, "é")], "doc_id long, text string")
     got = sorted(map(str, mpeg_audio.media_features(df).collect()))
