@@ -9,6 +9,7 @@ is further off than the language's own training texts ever are, it is rejected.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,6 +60,11 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)[:, None]
 
 
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    """Rows of trigram counts, sorted, so that their order doesn't depend on how they came."""
+    return np.frombuffer(b"".join(sorted(map(zlib.decompress, packed))), dtype=np.uint16).reshape(len(packed), -1)
+
+
 def has_letter(text: pa.Scalar) -> bool:
     return text.is_valid and any(c.isalpha() for c in text.as_py())
 
@@ -102,8 +108,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     About `sample` texts are used, or LEAST_PER_LANGUAGE of each language if
     these are more, by a hash of id and text; every language is learned.  Only
-    their trigram counts come to the driver, 2**BITS small integers each, so
-    that the driver holds some 130 kB for each language.
+    their trigram counts come to the driver, 2**BITS small integers each,
+    compressed; they are unpacked and turned into vectors one language at a
+    time, so that beside them the driver holds some 64 kB of centroids for each
+    language and the vectors of one.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -119,19 +127,25 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
             data, offsets = text_buffers(batch.column(0))
             for a, e in _row_chunks(offsets):
                 got = np.minimum(trigram_counts(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a]), 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, e - a), pa.array([r.tobytes() for r in got], pa.binary())], names=["lang", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, e - a), pa.array([zlib.compress(r.tobytes(), 1) for r in got], pa.binary())], names=["lang", "counts"])
 
-    got = few.select("text", "lang").mapInArrow(vectors, "lang string, counts binary").toPandas()
-    if got.empty:
+    packed: dict[str, list[bytes]] = {}
+    for r in few.select("text", "lang").mapInArrow(vectors, "lang string, counts binary").collect():
+        packed.setdefault(r[0], []).append(bytes(r[1]))
+    if not packed:
         return None
-    got = got.sort_values(["lang", "counts"])
-    raw = np.frombuffer(b"".join(got["counts"]), dtype=np.uint16).reshape(len(got), -1)
-    idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
-    x, lang = _vectors(raw, idf), got["lang"].to_numpy()
+    texts, holding = 0, np.zeros(1 << BITS, dtype=np.int64)
+    for own in packed.values():
+        texts += len(own)
+        holding += (_unpacked(own) > 0).sum(axis=0)
+    idf = np.log((1 + texts) / (1 + holding)).astype(np.float32) + 1
     centroids, language, least = [], [], []
-    for name in sorted(set(lang)):
-        own = x[lang == name]
-        own = own[own.any(axis=1)]
+    for name in sorted(packed):
+        raw = _unpacked(packed.pop(name))
+        raw = raw[raw.any(axis=1)]
+        own = np.empty(raw.shape, dtype=np.float32)
+        for a in range(0, len(raw), _ROWS):
+            own[a : a + _ROWS] = _vectors(raw[a : a + _ROWS], idf)
         if not len(own):
             continue
         centers = _centroids(own, CENTROIDS)

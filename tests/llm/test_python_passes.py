@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
-from relforge.llm import decontaminate, mpeg_audio, sketch
+from relforge.llm import decontaminate, langid, mpeg_audio, sketch
 from relforge.llm.ngram_jaccard import ngram_jaccard_join
 
 
@@ -83,3 +83,15 @@ def test_media_have_one_pass_of_python_in_a_task(spark, passes):
     assert len(passes) == 1 and not chained(passes[0])
     assert got == sorted(map(str, mpeg_audio.digests(mpeg_audio.read_media(mpeg_audio.encode_texts(df))).collect()))
     assert chained(passes[-1]) == 1
+
+
+def test_language_training_holds_the_vectors_of_one_language(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join("".join(rng.choices("abcdefghijklmnop"[n : n + 9], k=6)) for _ in range(12)), f"l{n}") for n in range(5) for k in range(n * 800, n * 800 + 800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = langid.train(df)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(model.language) == {f"l{n}" for n in range(5)}
+    assert most < 100 << 20  # 4000 texts' vectors at once are 64 MB, and several times that while they are made
